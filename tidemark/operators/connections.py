@@ -27,6 +27,11 @@ def connection_steps(events: DataFrame) -> DataFrame:
     return events.groupBy("conn_key").agg(last("open"), last("auth"), last("close"))
 
 
+def reduce_connection_steps(steps: DataFrame) -> DataFrame:
+    """Steps per connection from partial ones."""
+    return steps.groupBy("conn_key").agg(*[F.max(c).alias(c) for c in ("open_ts", "auth_ts", "close_ts")])
+
+
 def connection_state(steps: DataFrame) -> DataFrame:
     """State after the latest step; at equal times auth follows open and close follows both."""
     started = F.greatest("open_ts", "auth_ts")

@@ -108,7 +108,7 @@ def replies(outcomes: DataFrame, connections: DataFrame, as_of: datetime) -> Dat
 
 
 def reply_frames(reply_rows: DataFrame) -> DataFrame:
-    """Replies encoded as the client reads them; data acks use the long field names.
+    """Add the reply encoded as the client reads it; data acks use the long field names.
 
     A value is sent back in its own JSON type, except that a delivered command's value is text.
     """
@@ -121,4 +121,4 @@ def reply_frames(reply_rows: DataFrame) -> DataFrame:
              .when(F.col("type") == "dataReceived", F.to_json(received, JSON_OPTIONS))
              .when(F.col("message").isNotNull(), F.to_json(stored, JSON_OPTIONS))
              .otherwise(F.to_json(sent, JSON_OPTIONS)))
-    return reply_rows.select("msg_id", frame.alias("frame"))
+    return reply_rows.withColumn("frame", frame)

@@ -9,8 +9,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tidemark.functions import payload, scalars
 from tidemark.operators import (bundle, changes, connections as conns, display, history, ingest, routing, series,
                                 state)
+from tidemark.session import new_path
 from tidemark.sources import tables
 from tidemark.sources.testdata import TestTables
+from tidemark.streaming import jobs
+from tidemark.streaming.log import BatchTable
 
 KEY_SEED = "test"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -448,3 +451,72 @@ def K6_backfill(t):
 @query
 def K6_added_column(t):
     return changes.backfill_keys(t.devices.drop("secret_key"), KEY_SEED)
+
+
+# Streams: the given tables read as streams until their end, then the stored result
+
+class StreamTables(TestTables):
+    """The logical tables over streaming reads of the given ones."""
+
+    def raw(self, name: str) -> DataFrame:
+        schema = self.spark.read.parquet(f"{self.folder}/{name}.parquet").schema
+        return (self.spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
+                .parquet(self.folder))
+
+
+def ingested(t: TestTables, conn_type: str = "device") -> jobs.IngestStore:
+    """Run the ingest job over all messages."""
+    store = jobs.IngestStore(t.spark, new_path(t.spark, "ingest"))
+    messages = StreamTables(t.spark, t.folder).messages
+    work = jobs.ingest_batch(store, lambda: (t.devices, t.connections), conn_type)
+    jobs.run(messages, work, f"{store.folder}/checkpoint", trigger=None).awaitTermination()
+    return store
+
+
+@query
+def T1_ingest_stream(t):
+    return ingested(t).readings.read().drop("day")
+
+
+@query
+def T1_ingest_replies(t):
+    return ingested(t).replies.read().drop("frame")
+
+
+@query
+def T6_live_series_stream(t):
+    rows = ingested(t).live_series().select("device_id", "sensor_type", F.posexplode(
+        F.arrays_zip("labels", "values")))
+    return rows.select("device_id", "sensor_type", F.col("pos").cast("long").alias("pos"),
+                       F.col("col.labels").alias("label"), F.col("col.values").alias("value"))
+
+
+@query
+def T7_current_values_stream(t):
+    folder = new_path(t.spark, "current")
+    table = BatchTable(t.spark, f"{folder}/values", jobs.READING)
+    jobs.current_value_job(StreamTables(t.spark, t.folder).readings, table, f"{folder}/checkpoint",
+                           trigger=None).awaitTermination()
+    return state.current_values(table.read())
+
+
+@query
+def T5_connection_stream(t):
+    folder = new_path(t.spark, "connections")
+    table = BatchTable(t.spark, f"{folder}/steps", jobs.STEPS)
+    stream = StreamTables(t.spark, t.folder)
+    stream.devices = t.devices
+    jobs.connection_job(tables.connection_events(stream.connections), table, f"{folder}/checkpoint",
+                        trigger=None).awaitTermination()
+    return conns.connection_state(conns.reduce_connection_steps(table.read()))
+
+
+@query
+def T4_handshake_stream(t):
+    """Openings and first messages as one stream; verdicts at the end of the data."""
+    folder = new_path(t.spark, "handshakes")
+    table = BatchTable(t.spark, f"{folder}/steps", jobs.HANDSHAKE)
+    rows = StreamTables(t.spark, t.folder).handshakes
+    jobs.handshake_job(rows, lambda: tables.registry(t.devices), table, f"{folder}/checkpoint",
+                       trigger=None).awaitTermination()
+    return conns.handshake_verdicts(conns.reduce_handshake_steps(table.read()), now(t))
