@@ -53,7 +53,7 @@ def as_number_text(value: Column) -> Column:
     plain = value.cast("string")
     number = plain.try_cast("double")
     trimmed = F.regexp_replace(plain.try_cast("decimal(38,18)").cast("string"), r"\.?0+$", "")
-    exponent = F.regexp_replace(F.lower(plain), r"(\.0)?e(\d)", "e+$2")
+    exponent = F.regexp_replace(F.replace(F.lower(plain), F.lit(".0e"), F.lit("e")), r"e(\d)", "e+$1")
     return (F.when(F.schema_of_variant(value) == "DOUBLE",
                    F.when(number == 0, "0")
                     .when(F.abs(number).between(1e-6, 1e19), trimmed).otherwise(exponent))
