@@ -154,24 +154,24 @@ def device_receivers(updates: DataFrame, devices: DataFrame, subs: DataFrame,
     """Every open device connection with the number and id sum of the updates it is sent.
 
     That is all updates (scope ``all``) or those of its own owner (``owner``), less the ones it sent itself.
+    Updates are reduced per device and sender before anything else.
     """
-    known = updates.join(devices.select("device_id", "user_id"), "device_id")
+    sent = (_with_sums(updates, "device_id", "sender_key")
+            .join(devices.select("device_id", "user_id"), "device_id"))
     listeners = subs.where(F.col("conn_type") == "device").select("conn_key", "user_id")
-    own = _with_sums(known, "sender_key", "user_id").select(
-        F.col("sender_key").alias("conn_key"), F.col("user_id").alias("_sender_user"),
-        F.col("n_updates").alias("_own_n"), F.col("id_sum").alias("_own_sum"))
-    own = own.groupBy("conn_key").agg(F.sum("_own_n").alias("_own_n"), F.sum("_own_sum").alias("_own_sum"))
+    sender = ["conn_key", "user_id"] if scope == "owner" else ["conn_key"]
+    own = _summary(sent.withColumnRenamed("sender_key", "conn_key"), *sender).select(
+        *sender, F.col("n_updates").alias("_own_n"), F.col("id_sum").alias("_own_sum"))
     if scope == "owner":
-        offered = listeners.join(_with_sums(known, "user_id"), "user_id", "left")
+        offered = listeners.join(_summary(sent, "user_id"), "user_id", "left")
     elif scope == "all":
-        totals = known.agg(F.struct(F.count("*").alias("n"),
-                                    F.sum(F.col("update_id").cast("decimal(28,0)")).alias("s")).alias("t"))
-        offered = (listeners.withColumn("_t", totals.scalar())
+        totals = sent.agg(F.struct(F.sum("n_updates").alias("n"), F.sum("id_sum").alias("s"))).scalar()
+        offered = (listeners.withColumn("_t", totals)
                    .withColumns({"n_updates": F.col("_t.n"), "id_sum": F.col("_t.s")}))
     else:
         raise ValueError(f"unknown scope: {scope}")
     zero = F.lit(0)
-    left = (offered.join(own, "conn_key", "left")
+    left = (offered.join(own, sender, "left")
             .withColumns({"n_updates": F.col("n_updates") - F.coalesce("_own_n", zero),
                           "id_sum": F.col("id_sum") - F.coalesce("_own_sum", zero)}))
     return _received(left, "conn_key", "user_id")
