@@ -88,7 +88,7 @@ def test_frames(spark):
              "hello": "RAW", '{"status":"ack","type":"dataUpdate"}': "ACK"}
     rows = spark.createDataFrame([(k,) for k in cases], "raw string")
     raw = F.col("raw")
-    got = rows.select("raw", payload.frame_class(raw, payload.parse(raw)).alias("c")).collect()
+    got = rows.select("raw", payload.frame_class(payload.parse(raw)).alias("c")).collect()
     assert {r.raw: r.c for r in got} == cases
 
 

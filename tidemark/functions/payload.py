@@ -19,19 +19,19 @@ def compute_once(rows: DataFrame, columns: dict[str, Column]) -> DataFrame:
 
 
 def parse(raw: Column) -> Column:
-    """Variant of a JSON text, or NULL when the text is not exactly one JSON value.
+    """Variant document of a JSON text; NULL when the text is JSON null or not exactly one JSON value.
 
     The parser stops after the first value, so ``{"a":1} x`` would pass. Wrapping the text as an
-    object member and as the only array item leaves trailing text no way to stay valid JSON.
+    object member and as the only array item leaves trailing text no way to stay valid JSON. The
+    member is kept as ``$.m``; :func:`field` reads below it.
     """
     member = F.try_parse_json(F.concat(F.lit('{"m":'), raw, F.lit("}")))
     single = F.json_array_length(F.concat(F.lit("["), raw, F.lit("]"))) == 1
-    value = F.when(single, F.try_variant_get(member, "$.m", "variant"))
-    return F.when(~F.is_variant_null(value), value)
+    return F.when((F.btrim(raw, F.lit(" \t\r\n")) != "null") & single, member)
 
 
-def field(payload: Column, name: str) -> Column:
-    return F.try_variant_get(payload, f"$.{name}", "variant")
+def field(document: Column, name: str, kind: str = "variant") -> Column:
+    return F.try_variant_get(document, f"$.m.{name}", kind)
 
 
 def present(value: Column) -> Column:
@@ -74,9 +74,9 @@ def truthy(value: Column) -> Column:
 
 def payload_fields(messages: DataFrame, raw: str, *names: str) -> DataFrame:
     """Add ``is_json`` and the named payload fields as variants ``_name``."""
-    parsed = compute_once(messages, {"_payload": parse(F.col(raw))})
-    fields = {f"_{n}": field(F.col("_payload"), n) for n in names}
-    return compute_once(parsed, {"is_json": F.col("_payload").isNotNull(), **fields}).drop("_payload")
+    parsed = compute_once(messages, {"_document": parse(F.col(raw))})
+    fields = {f"_{n}": field(F.col("_document"), n) for n in names}
+    return compute_once(parsed, {"is_json": F.col("_document").isNotNull(), **fields}).drop("_document")
 
 
 def is_command_type(kind: Column) -> Column:
@@ -136,11 +136,10 @@ def auto_route(messages: DataFrame, own_device: str, raw: str = "raw") -> DataFr
             .drop("is_json", "_var", "_val", "_type", "_device_id"))
 
 
-def frame_class(raw: Column, payload: Column) -> Column:
-    """Kind of a server frame: ACK, ERROR, DATA, JSON, or RAW when it is not a JSON value."""
-    status = F.try_variant_get(payload, "$.status", "string")
-    kind = F.try_variant_get(payload, "$.type", "string")
-    return (F.when(payload.isNull(), "RAW")
+def frame_class(document: Column) -> Column:
+    """Kind of a parsed server frame: ACK, ERROR, DATA, JSON, or RAW when it is not a JSON value."""
+    status, kind = field(document, "status", "string"), field(document, "type", "string")
+    return (F.when(document.isNull(), "RAW")
             .when(status.isin("success", "ack"), "ACK")
             .when(status == "error", "ERROR")
             .when(kind == "dataUpdate", "DATA")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.functions.scalars import default_value, page_url, valid_slug
+from tidemark.operators.joins import lookup
 from tidemark.operators.numbering import number_rows
 from tidemark.session import stored
 
@@ -127,7 +128,7 @@ def slug_results(requests: DataFrame, devices: DataFrame) -> DataFrame:
     holders = (devices.where(F.col("public_slug").isNotNull())
                .select(F.col("public_slug").alias("custom_slug"), F.col("device_id").alias("_holder")))
     owned = devices.select("device_id", "user_id").withColumn("_owned", F.lit(True))
-    known = (checked.join(owned, ["device_id", "user_id"], "left").join(holders, "custom_slug", "left")
+    known = (lookup(lookup(checked, owned, ["device_id", "user_id"], "request_id"), holders, "custom_slug", "request_id")
              .withColumn("_owned", F.coalesce("_owned", F.lit(False))))
     claim = F.col("_valid") & F.col("_owned") & F.col("_holder").isNull()
     claims = (known.where(claim).groupBy("custom_slug")
@@ -135,7 +136,7 @@ def slug_results(requests: DataFrame, devices: DataFrame) -> DataFrame:
     by = F.coalesce("_holder", "_first")
     conflict = F.col("_owned") & by.isNotNull() & (by != F.col("device_id"))
     status = F.when(~F.col("_valid"), 400).when(conflict, 409).otherwise(200)
-    return (known.join(claims, "custom_slug", "left").withColumn("status", status)
+    return (lookup(known, claims, "custom_slug", "request_id").withColumn("status", status)
             .select("request_id", "device_id", "user_id", "custom_slug", "status",
                     ((F.col("status") == 200) & F.col("_owned")).alias("applies"),
                     F.when(F.col("status") == 200, page_url(F.col("custom_slug"))).alias("url")))

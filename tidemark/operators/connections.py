@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from tidemark.functions.payload import compute_once, not_null, payload_fields, truthy
 from tidemark.operators.history import time_literal
+from tidemark.operators.joins import lookup
 
 HANDSHAKE_LIMIT = "INTERVAL '20' SECOND"  # Fixed value: time a connection may wait unauthenticated.
 
@@ -65,9 +66,9 @@ def auth_attempts(handshakes: DataFrame, registry: DataFrame) -> DataFrame:
     action, key = F.col("_action"), F.col("_key")
     asks = F.coalesce(not_null(action) & (action.cast("string") == "auth") & truthy(key), F.lit(False))
     known = registry.select("secret_key", "device_id", "device_name").withColumn("key_ok", F.lit(True))
-    return (compute_once(parsed, {"is_auth": asks, "secret_key": F.when(asks, key.cast("string"))})
-            .drop("is_json", "_action", "_key")
-            .join(known, "secret_key", "left").drop("secret_key")
+    asked = (compute_once(parsed, {"is_auth": asks, "secret_key": F.when(asks, key.cast("string"))})
+             .drop("is_json", "_action", "_key"))
+    return (lookup(asked, known, "secret_key", "conn_key").drop("secret_key")
             .withColumn("key_ok", F.coalesce("key_ok", F.lit(False))))
 
 

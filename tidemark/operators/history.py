@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import TimestampNTZType
 
 from tidemark.functions.scalars import page_slug
+from tidemark.operators.joins import lookup
 
 
 def latest_time(readings: DataFrame) -> datetime:
@@ -113,7 +114,7 @@ def public_lookup(requests: DataFrame, users: DataFrame, devices: DataFrame) ->
     named = (devices.join(users.select("user_id", "username"), "user_id")
              .groupBy("username", "device_name").agg(F.min("device_id").alias("device_id")))
     filled = (F.coalesce(F.col("username"), F.lit("")) != "") & (F.coalesce(F.col("device_name"), F.lit("")) != "")
-    return (requests.join(named, ["username", "device_name"], "left")
+    return (lookup(requests, named, ["username", "device_name"], "request_id")
             .select("request_id", "username", "device_name",
                     F.when(~filled, 400).when(F.col("device_id").isNull(), 404).otherwise(200).alias("status"),
                     F.when(filled, F.col("device_id")).alias("device_id")))
@@ -123,7 +124,7 @@ def slug_lookup(requests: DataFrame, devices: DataFrame) -> DataFrame:
     """Resolve page paths by their last segment; unknown slugs get status 404."""
     pages = (devices.where(F.col("public_slug").isNotNull())
              .select(F.col("public_slug").alias("slug"), "device_id", "device_name"))
-    return (requests.withColumn("slug", page_slug(F.col("path"))).join(pages, "slug", "left")
+    return (lookup(requests.withColumn("slug", page_slug(F.col("path"))), pages, "slug", "request_id")
             .select("request_id", "slug", "device_id", "device_name",
                     F.when(F.col("device_id").isNull(), 404).otherwise(200).alias("status")))
 

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from tidemark.functions.payload import compute_once, with_fields
 from tidemark.functions.scalars import as_id, iso_millis
-from tidemark.operators.routing import JSON_OPTIONS, command_acks
+from tidemark.operators.joins import lookup
+from tidemark.operators.routing import JSON_OPTIONS, OFFLINE_NOTE, ack_value, with_instances
 
 # Texts of replies.
 RECEIVED = "Data berhasil diterima"
@@ -22,7 +23,7 @@ def authenticate(messages: DataFrame, registry: DataFrame) -> DataFrame:
     Messages are the preserved side, so a hot key can be split however large the registry is.
     """
     known = registry.select("secret_key", F.col("device_id").alias("auth_device_id"), "device_name", "user_id")
-    return (messages.join(known, "secret_key", "left")
+    return (lookup(messages, known, "secret_key", "msg_id")
             .withColumn("accepted", F.col("auth_device_id").isNotNull()))
 
 
@@ -57,7 +58,7 @@ def dashboard_outcomes(messages: DataFrame) -> DataFrame:
 def with_ownership(outcomes: DataFrame, devices: DataFrame) -> DataFrame:
     """Mark commands to a device of the commanding user."""
     owned = devices.select(F.col("device_id").alias("target_id"), F.col("user_id").alias("_owner"))
-    return (outcomes.join(owned, "target_id", "left")
+    return (lookup(outcomes, owned, "target_id", "msg_id")
             .withColumn("is_owner", F.coalesce(F.col("_owner") == F.col("user_id"), F.lit(False))).drop("_owner"))
 
 
@@ -89,22 +90,29 @@ def new_commands(outcomes: DataFrame) -> DataFrame:
 
 
 def replies(outcomes: DataFrame, connections: DataFrame, as_of: datetime) -> DataFrame:
-    """Everything sent back to senders: data acks, command acks and errors.
+    """Everything sent back to senders: data acks, command acks and errors, in one pass.
 
     Malformed, invalid device and unauthenticated messages get no reply.
     """
-    nothing = F.lit(None).cast("string")
-    direct = (F.when(F.col("outcome") == "data", RECEIVED).when(F.col("outcome") == "cross_device", CROSS_DEVICE)
-              .when((F.col("outcome") == "invalid") & (F.col("conn_type") == "dashboard"), BAD_FORMAT))
-    data = F.col("outcome") == "data"
-    immediate = (outcomes.withColumn("message", direct).where(F.col("message").isNotNull())
-                 .select("msg_id", F.when(data, "ack").otherwise("error").alias("status"),
-                         F.when(data, "dataReceived").alias("type"), nothing.alias("device_id"),
-                         F.when(data, F.col("sensor_type")).alias("var"), F.when(data, F.col("value")).alias("val"),
-                         F.when(data, F.col("payload_value")).alias("payload_value"),
-                         F.when(data, iso_millis(F.col("ts"))).alias("timestamp"), "message"))
-    acks = command_acks(new_commands(outcomes), connections, as_of)
-    return immediate.unionByName(acks.drop("target_id", "n_sent"), allowMissingColumns=True)
+    outcome = F.col("outcome")
+    data, command = outcome == "data", outcome == "command"
+    refused = (outcome == "invalid") & (F.col("conn_type") == "dashboard")
+    answered = outcomes.where(data | command | refused | (outcome == "cross_device"))
+    # Only commands need the connections of their target.
+    keyed = answered.withColumns({"sender_key": F.when(command, F.col("sender_key")),
+                                  "target_id": F.when(command, F.col("target_id"))})
+    online = F.col("n_registered") > 0
+    accepted = data | command
+    return with_instances(keyed, connections, as_of).select(
+        "msg_id", F.when(accepted, "ack").otherwise("error").alias("status"),
+        F.when(data, "dataReceived").alias("type"),
+        F.when(command, F.col("target_text")).alias("device_id"),
+        F.when(accepted, F.col("sensor_type")).alias("var"),
+        F.when(data, F.col("value")).when(command, ack_value(online)).alias("val"),
+        F.when(accepted, F.col("payload_value")).alias("payload_value"),
+        F.when(data, iso_millis(F.col("ts"))).alias("timestamp"),
+        F.when(data, RECEIVED).when(outcome == "cross_device", CROSS_DEVICE).when(refused, BAD_FORMAT)
+         .when(~online, OFFLINE_NOTE).alias("message"))
 
 
 def reply_frames(reply_rows: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.functions.scalars import iso_millis
 from tidemark.operators.history import time_literal
+from tidemark.operators.joins import lookup
 
 JSON_OPTIONS = {"ignoreNullFields": "false"}
 
@@ -109,7 +110,7 @@ def delivery_counts(updates: DataFrame, devices: DataFrame, subs: DataFrame) ->
     listeners = subs.where(F.col("audience") == "devices")
     total = listeners.agg(F.count("*").alias("n")).scalar()
     senders = listeners.select(F.col("conn_key").alias("sender_key"), F.lit(1).cast("long").alias("_self"))
-    return (updates.join(per_device, "device_id").join(senders, "sender_key", "left")
+    return (lookup(updates.join(per_device, "device_id"), senders, "sender_key", "update_id")
             .select("update_id", "device_id", "n_dashboards",
                     (total - F.coalesce("_self", zero)).alias("n_devices"), "n_public"))
 
@@ -197,33 +198,41 @@ def device_instances(connections: DataFrame, as_of: datetime) -> DataFrame:
 OFFLINE_NOTE = "Nilai disimpan (device offline)"
 
 
-def command_acks(commands: DataFrame, connections: DataFrame, as_of: datetime) -> DataFrame:
-    """Reply to every command and the number of device connections it was sent to.
+def with_instances(commands: DataFrame, connections: DataFrame, as_of: datetime) -> DataFrame:
+    """Add the target's connections, not counting the sender's own: ``n_registered`` and ``n_sent`` (open).
 
-    ``commands`` holds msg_id, target_id, target_text, sensor_type, value and sender_key (NULL from a
-    dashboard); the sender's own connection receives nothing. A device whose connections are all closed
-    but still registered counts as connected; only a device without any gets the offline note.
-    Connections are counted per device before the join.
+    ``commands`` holds msg_id, target_id and sender_key (NULL from a dashboard). Connections are counted
+    per device before the join.
     """
-    target = commands.join(device_instances(connections, as_of).withColumnRenamed("device_id", "target_id"),
-                           "target_id", "left")
+    instances = device_instances(connections, as_of).withColumnRenamed("device_id", "target_id")
     senders = (connections.where((F.col("conn_type") == "device") & is_authenticated(connections, as_of))
                .select(F.col("conn_key").alias("sender_key"), F.col("device_id").alias("_sender_device"),
                        is_open(connections, as_of).alias("_sender_open")))
-    same = F.coalesce(F.col("_sender_device") == F.col("target_id"), F.lit(False))
+    known = lookup(lookup(commands, instances, "target_id", "msg_id"), senders, "sender_key", "msg_id")
+    own = F.col("_sender_device") == F.col("target_id")
     zero = F.lit(0).cast("long")
-    counted = (target.join(senders, "sender_key", "left").withColumns({
-        "_registered": F.coalesce("n_registered", zero) - F.when(same, 1).otherwise(0),
-        "_sent": F.coalesce("n_open", zero) - F.when(same & F.col("_sender_open"), 1).otherwise(0)}))
-    online = F.col("_registered") > 0
-    extra = ["payload_value"] if "payload_value" in commands.columns else []
-    return counted.select(
-        *extra,
+    return known.withColumns({
+        "n_registered": F.coalesce("n_registered", zero) - F.when(own, 1).otherwise(0),
+        "n_sent": F.coalesce("n_open", zero) - F.when(own & F.col("_sender_open"), 1).otherwise(0),
+    }).drop("n_open", "_sender_device", "_sender_open")
+
+
+def ack_value(online: Column) -> Column:
+    """Value in a command ack: as text when it was sent, else as it came."""
+    return F.when(online, F.coalesce("value", F.lit("null"))).otherwise(F.col("value"))
+
+
+def command_acks(commands: DataFrame, connections: DataFrame, as_of: datetime) -> DataFrame:
+    """Reply to every command and the number of device connections it was sent to.
+
+    ``commands`` also holds target_text, sensor_type and value. A device whose connections are all closed
+    but still registered counts as connected; only a device without any gets the offline note.
+    """
+    online = F.col("n_registered") > 0
+    return with_instances(commands, connections, as_of).select(
         "msg_id", "target_id", F.lit("ack").alias("status"), F.col("target_text").alias("device_id"),
-        F.col("sensor_type").alias("var"),
-        F.when(online, F.coalesce("value", F.lit("null"))).otherwise(F.col("value")).alias("val"),
-        F.when(~online, OFFLINE_NOTE).alias("message"),
-        F.when(online, F.col("_sent")).otherwise(zero).alias("n_sent"))
+        F.col("sensor_type").alias("var"), ack_value(online).alias("val"),
+        F.when(~online, OFFLINE_NOTE).alias("message"), "n_sent")
 
 
 def command_frames(commands: DataFrame) -> DataFrame:

@@ -239,8 +239,8 @@ def M6_frame_class(t):
     frames = (answers.select(F.lit("reply").alias("origin"), "msg_id", "frame")
               .unionByName(t.messages.select(F.lit("device").alias("origin"), "msg_id",
                                              F.col("raw").alias("frame"))))
-    return frames.select("origin", "msg_id",
-                         payload.frame_class(F.col("frame"), payload.parse(F.col("frame"))).alias("frame_class"))
+    parsed = payload.compute_once(frames, {"document": payload.parse(F.col("frame"))})
+    return parsed.select("origin", "msg_id", payload.frame_class(F.col("document")).alias("frame_class"))
 
 
 @query
@@ -275,13 +275,13 @@ def T2_dashboard_commands(t):
 @query
 def T3_controller_commands(t):
     commands = ingest.new_commands(device_messages(t))
-    return routing.command_acks(commands, t.connections, now(t)).drop("payload_value")
+    return routing.command_acks(commands, t.connections, now(t))
 
 
 @query
 def J11_command_acks(t):
     commands = ingest.new_commands(dashboard_messages(t))
-    return routing.command_acks(commands, t.connections, now(t)).drop("payload_value")
+    return routing.command_acks(commands, t.connections, now(t))
 
 
 @query
