@@ -49,27 +49,26 @@ def as_text(value: Column) -> Column:
 
 
 def as_number_text(value: Column) -> Column:
-    """Like :func:`as_text`, also for numbers written with an exponent (1e3 is printed 1000)."""
+    """Like :func:`as_text`, also for numbers written with an exponent (1e3 is printed 1000).
+
+    Only such a number is kept as a double, and only a double's text ends in ``.0`` or has an exponent;
+    the costlier look at the type is limited to texts of that form.
+    """
     plain = value.cast("string")
     number = plain.try_cast("double")
     trimmed = F.regexp_replace(plain.try_cast("decimal(38,18)").cast("string"), r"\.?0+$", "")
     exponent = F.regexp_replace(F.replace(F.lower(plain), F.lit(".0e"), F.lit("e")), r"e(\d)", "e+$1")
-    return (F.when(F.schema_of_variant(value) == "DOUBLE",
-                   F.when(number == 0, "0")
-                    .when(F.abs(number).between(1e-6, 1e19), trimmed).otherwise(exponent))
-            .otherwise(plain))
+    printed = (F.when(F.schema_of_variant(value) != "DOUBLE", plain).when(number == 0, "0")
+               .when(F.abs(number).between(1e-6, 1e19), trimmed).otherwise(exponent))
+    return F.when(plain.endswith(".0") | plain.contains("E"), printed).otherwise(plain)
 
 
 def truthy(value: Column) -> Column:
     """False for a missing field, null, empty text, false and zero; true for everything else."""
-    kind = F.schema_of_variant(value)
     plain = value.cast("string")
-    zero = plain.try_cast("double") == 0
-    return (F.when(value.isNull() | (kind == "VOID"), False)
-            .when(kind == "STRING", plain != "")
-            .when(kind == "BOOLEAN", plain == "true")
-            .when(kind.startswith("OBJECT") | kind.startswith("ARRAY"), True)
-            .otherwise(~F.coalesce(zero, F.lit(False))))
+    return (F.when(plain.isNull() | (plain == ""), False)
+            .when(plain.isin("0", "-0", "0.0", "-0.0", "false"), F.schema_of_variant(value) == "STRING")
+            .otherwise(True))
 
 
 def payload_fields(messages: DataFrame, raw: str, *names: str) -> DataFrame:
@@ -80,7 +79,7 @@ def payload_fields(messages: DataFrame, raw: str, *names: str) -> DataFrame:
 
 
 def is_command_type(kind: Column) -> Column:
-    return F.coalesce((F.schema_of_variant(kind) == "STRING") & (kind.cast("string") == "command"), F.lit(False))
+    return F.coalesce(kind.cast("string") == "command", F.lit(False))
 
 
 def with_fields(messages: DataFrame, raw: str = "raw") -> DataFrame:

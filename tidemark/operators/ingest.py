@@ -6,7 +6,7 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame, functions as F
 
-from tidemark.functions.payload import compute_once, with_fields
+from tidemark.functions.payload import compute_once
 from tidemark.functions.scalars import as_id, iso_millis
 from tidemark.operators.joins import lookup
 from tidemark.operators.routing import JSON_OPTIONS, OFFLINE_NOTE, ack_value, with_instances
@@ -20,9 +20,10 @@ BAD_FORMAT = "Format pesan tidak valid"
 def authenticate(messages: DataFrame, registry: DataFrame) -> DataFrame:
     """Add the sending device and its owner; ``accepted`` is false for an unknown key.
 
-    Messages are the preserved side, so a hot key can be split however large the registry is.
+    Messages are the preserved side, so a hot key can be split however large the registry is. Further
+    columns of the registry, such as the device's connection, come along.
     """
-    known = registry.select("secret_key", F.col("device_id").alias("auth_device_id"), "device_name", "user_id")
+    known = registry.withColumnRenamed("device_id", "auth_device_id")
     return (lookup(messages, known, "secret_key", "msg_id")
             .withColumn("accepted", F.col("auth_device_id").isNotNull()))
 
@@ -30,10 +31,12 @@ def authenticate(messages: DataFrame, registry: DataFrame) -> DataFrame:
 def device_outcomes(authenticated: DataFrame) -> DataFrame:
     """Decide about every message on a device connection.
 
+    ``authenticated`` holds the payload fields and the sender. Payloads are read before the sender is
+    looked up, so that work is spread as the messages arrive, whoever sends most of them.
     ``outcome``: ``unauthenticated``, ``malformed`` and ``invalid`` (dropped without a reply),
     ``cross_device`` (refused), ``command`` or ``data``. A command may address only the sending device.
     """
-    fields = with_fields(authenticated).withColumn(
+    fields = authenticated.withColumn(
         "target_text", F.coalesce("target_text", F.col("auth_device_id").cast("string")))
     own = F.col("target_text") == F.col("auth_device_id").cast("string")
     outcome = (F.when(~F.col("accepted"), "unauthenticated")
@@ -44,12 +47,12 @@ def device_outcomes(authenticated: DataFrame) -> DataFrame:
     return compute_once(fields, {"outcome": outcome, "target_id": as_id(F.col("target_text"))})
 
 
-def dashboard_outcomes(messages: DataFrame) -> DataFrame:
+def dashboard_outcomes(fields: DataFrame) -> DataFrame:
     """Decide about every message on a dashboard connection: ``malformed``, ``invalid`` or ``command``.
 
-    ``messages`` holds the dashboard's user_id. The addressed device need not exist or belong to the user.
+    ``fields`` holds the payload fields and the dashboard's user_id. The addressed device need not exist
+    or belong to the user.
     """
-    fields = with_fields(messages)
     valid = F.col("target_truthy") & F.col("name_ok") & F.col("value_present")
     outcome = F.when(~F.col("is_json"), "malformed").when(~valid, "invalid").otherwise("command")
     return compute_once(fields, {"outcome": outcome, "target_id": as_id(F.col("target_text"))})

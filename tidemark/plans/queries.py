@@ -33,15 +33,12 @@ def updates(t: TestTables) -> DataFrame:
 
 def device_messages(t: TestTables) -> DataFrame:
     """Messages on device connections with their sender's connection, decided."""
-    sender = conns.newest_connections(t.connections).select(
-        F.col("device_id").alias("auth_device_id"), F.col("conn_key").alias("sender_key"))
-    known = ingest.authenticate(t.messages, tables.registry(t.devices)).join(sender, "auth_device_id", "left")
-    return ingest.device_outcomes(known.withColumn("conn_type", F.lit("device")))
+    return jobs.decided(t.messages, t.devices, t.connections, "device")
 
 
 def dashboard_messages(t: TestTables) -> DataFrame:
     """The same messages as typed by the device owners on their dashboards."""
-    owned = ingest.authenticate(t.messages, tables.registry(t.devices)).where("accepted")
+    owned = ingest.authenticate(payload.with_fields(t.messages), tables.registry(t.devices)).where("accepted")
     return ingest.dashboard_outcomes(owned.withColumn("conn_type", F.lit("dashboard"))
                                      .withColumn("sender_key", F.lit(None).cast("long")))
 
@@ -313,12 +310,10 @@ def P7_subscriptions(t):
 @query
 def K8_outbox(t):
     records = routing.outbox(routing.with_owner(updates(t), t.devices))
-    body = F.try_parse_json("payload")
-    def part(name):
-        return F.try_variant_get(body, f"$.{name}", "string").alias(name)
-    return records.select("update_id", "audience", "skip_conn_key", part("type"), part("device"),
-                          part("device_id"), part("device_name"), part("var"), part("sensor_type"),
-                          part("val"), part("current_value"), part("timestamp"))
+    parsed = payload.compute_once(records, {"body": F.try_parse_json("payload")})
+    names = ("type", "device", "device_id", "device_name", "var", "sensor_type", "val", "current_value", "timestamp")
+    return parsed.select("update_id", "audience", "skip_conn_key",
+                         *[F.try_variant_get("body", f"$.{n}", "string").alias(n) for n in names])
 
 
 @query

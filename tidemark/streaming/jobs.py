@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -10,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.storagelevel import StorageLevel
 
+from tidemark.functions.payload import with_fields
 from tidemark.operators import connections as conns, history, ingest, routing, series, state
 from tidemark.sources import tables
 from tidemark.streaming.log import BatchTable
@@ -85,15 +87,23 @@ def decided(batch: DataFrame, devices: DataFrame, connections: DataFrame, conn_t
     Device messages carry secret_key, dashboard messages user_id. A conn_key column names the sender's
     connection; without it the newest connection of the device stands in.
     """
-    typed = batch.withColumn("conn_type", F.lit(conn_type))
+    fields = with_fields(batch).withColumn("conn_type", F.lit(conn_type))
     if conn_type == "dashboard":
-        return ingest.dashboard_outcomes(typed.withColumn("sender_key", F.lit(None).cast("long")))
-    known = ingest.authenticate(typed, tables.registry(devices))
+        return ingest.dashboard_outcomes(fields.withColumn("sender_key", F.lit(None).cast("long")))
+    registry = tables.registry(devices)
     if "conn_key" in batch.columns:
-        return ingest.device_outcomes(known.withColumnRenamed("conn_key", "sender_key"))
-    sender = conns.newest_connections(connections).select(
-        F.col("device_id").alias("auth_device_id"), F.col("conn_key").alias("sender_key"))
-    return ingest.device_outcomes(known.join(sender, "auth_device_id", "left"))
+        known = ingest.authenticate(fields.withColumnRenamed("conn_key", "sender_key"), registry)
+    else:
+        sender = conns.newest_connections(connections).select("device_id", F.col("conn_key").alias("sender_key"))
+        known = ingest.authenticate(fields, registry.join(sender, "device_id", "left"))
+    return ingest.device_outcomes(known)
+
+
+def write_all(batch_id: int, tables_rows: dict[BatchTable, DataFrame]) -> None:
+    """Write several tables of a batch at the same time; the first failure fails the batch."""
+    with ThreadPoolExecutor(len(tables_rows)) as pool:
+        for done in [pool.submit(table.write, batch_id, rows) for table, rows in tables_rows.items()]:
+            done.result()
 
 
 def ingest_batch(store: IngestStore, dimensions: Callable[[], tuple[DataFrame, DataFrame]],
@@ -112,12 +122,15 @@ def ingest_batch(store: IngestStore, dimensions: Callable[[], tuple[DataFrame, D
         try:
             readings = ingest.new_readings(outcomes)
             store.readings.write(batch_id, readings.withColumn("day", F.to_date("ts")))
-            store.latest.write(batch_id, state.current_values(ingest.new_values(outcomes)))
-            store.points.write(batch_id, series.last_points(readings, points))
-            store.replies.write(batch_id, ingest.reply_frames(ingest.replies(outcomes, connections, as_of)))
-            store.commands.write(batch_id, routing.command_frames(ingest.new_commands(outcomes)))
             owned = routing.with_owner(ingest.new_updates(outcomes), devices)
-            store.outbox.write(batch_id, routing.outbox(owned))
+            answers = ingest.replies(outcomes, connections, as_of)
+            # The outcomes are cached by now; the remaining tables are independent jobs over them.
+            write_all(batch_id, {
+                store.latest: state.current_values(ingest.new_values(outcomes)),
+                store.points: series.last_points(readings, points),
+                store.replies: ingest.reply_frames(answers),
+                store.commands: routing.command_frames(ingest.new_commands(outcomes)),
+                store.outbox: routing.outbox(owned)})
         finally:
             outcomes.unpersist()
     return each_batch
