@@ -42,10 +42,12 @@ def first_come(requests: DataFrame, keys: list[str], order: str) -> DataFrame:
     undecided = stored(requests.select(order, *keys), "undecided")
     accepted = []
     while not undecided.isEmpty():
-        leaders = undecided
-        for key in keys:
-            first = undecided.groupBy(key).agg(F.min(order).alias(f"_first_{key}"))
-            leaders = leaders.join(first, key).where(F.col(order) == F.col(f"_first_{key}"))
+        # The first request of every value of each key; only one row per value goes on.
+        firsts = [undecided.groupBy(key).agg(F.min(F.struct(order, *keys)).alias("_first")).select("_first.*")
+                  for key in keys]
+        leaders = firsts[0]
+        for more in firsts[1:]:
+            leaders = leaders.join(more.select(order), order, "left_semi")
         winners = stored(leaders.select(order, *keys), "accepted")
         accepted.append(winners)
         rest = undecided

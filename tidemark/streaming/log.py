@@ -31,28 +31,30 @@ class BatchTable:
         folders = [status.getPath().getParent() for status in found]
         return {int(folder.getName().split("=")[1]): folder.toString() for folder in folders}
 
-    def _paths(self) -> tuple[list[str], int | None]:
+    def _newest(self) -> tuple[list[str], str | None, int | None]:
+        """Folders of the batches after the newest base, that base, and the last batch."""
         bases = self._complete("base/upto")
-        newest = max(bases, default=None)
-        batches = {n: p for n, p in self._complete("batches/batch_id").items() if newest is None or n > newest}
-        paths = [batches[n] for n in sorted(batches)] + ([bases[newest]] if bases else [])
-        return paths, max(batches, default=None)
+        upto = max(bases, default=None)
+        batches = {n: p for n, p in self._complete("batches/batch_id").items() if upto is None or n > upto}
+        return [batches[n] for n in sorted(batches)], bases.get(upto), max(batches, default=None)
 
     def read(self) -> DataFrame:
         """All complete rows; an empty table before the first batch."""
-        paths, _ = self._paths()
-        if not paths:
+        batches, base, _ = self._newest()
+        columns = self.schema.fieldNames()
+        parts = []
+        if batches:
+            parts.append(self.spark.read.schema(self.schema).option("basePath", f"{self.path}/batches")
+                         .parquet(*batches).select(*columns))
+        if base:
+            parts.append(self.spark.read.schema(self.schema).parquet(base))
+        if not parts:
             return self.spark.createDataFrame([], self.schema)
-        frames = [self.spark.read.schema(self.schema).parquet(p) for p in paths] if self.partition_by else [
-            self.spark.read.schema(self.schema).parquet(*paths)]
-        rows = frames[0]
-        for more in frames[1:]:
-            rows = rows.unionByName(more)
-        return rows
+        return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
     def compact(self, reduce: Callable[[DataFrame], DataFrame]) -> None:
         """Fold everything complete into a new base. ``reduce`` must give the same result over partial results."""
-        _, newest = self._paths()
+        _, _, newest = self._newest()
         if newest is not None:
             (reduce(self.read()).select(*self.schema.fieldNames())
              .write.mode("overwrite").parquet(f"{self.path}/base/upto={newest}"))
