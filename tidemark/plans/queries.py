@@ -38,7 +38,7 @@ def device_messages(t: TestTables) -> DataFrame:
 
 def dashboard_messages(t: TestTables) -> DataFrame:
     """The same messages as typed by the device owners on their dashboards."""
-    owned = ingest.authenticate(payload.with_fields(t.messages), tables.registry(t.devices)).where("accepted")
+    owned = ingest.authenticate(payload.with_fields(t.messages).drop("raw"), tables.registry(t.devices)).where("accepted")
     return ingest.dashboard_outcomes(owned.withColumn("conn_type", F.lit("dashboard"))
                                      .withColumn("sender_key", F.lit(None).cast("long")))
 

@@ -87,7 +87,7 @@ def decided(batch: DataFrame, devices: DataFrame, connections: DataFrame, conn_t
     Device messages carry secret_key, dashboard messages user_id. A conn_key column names the sender's
     connection; without it the newest connection of the device stands in.
     """
-    fields = with_fields(batch).withColumn("conn_type", F.lit(conn_type))
+    fields = with_fields(batch).drop("raw").withColumn("conn_type", F.lit(conn_type))
     if conn_type == "dashboard":
         return ingest.dashboard_outcomes(fields.withColumn("sender_key", F.lit(None).cast("long")))
     registry = tables.registry(devices)
