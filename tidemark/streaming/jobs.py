@@ -115,17 +115,16 @@ def ingest_batch(store: IngestStore, dimensions: Callable[[], tuple[DataFrame, D
     """
     def each_batch(batch: DataFrame, batch_id: int) -> None:
         devices, connections = dimensions()
-        as_of = history.latest_time(batch)
-        if as_of is None:
-            return
         outcomes = decided(batch, devices, connections, conn_type).persist(StorageLevel.MEMORY_AND_DISK)
         try:
+            as_of = history.latest_time(outcomes)  # fills the cache, so the source is read once
+            if as_of is None:
+                return
             readings = ingest.new_readings(outcomes)
-            store.readings.write(batch_id, readings.withColumn("day", F.to_date("ts")))
             owned = routing.with_owner(ingest.new_updates(outcomes), devices)
             answers = ingest.replies(outcomes, connections, as_of)
-            # The outcomes are cached by now; the remaining tables are independent jobs over them.
             write_all(batch_id, {
+                store.readings: readings.withColumn("day", F.to_date("ts")),
                 store.latest: state.current_values(ingest.new_values(outcomes)),
                 store.points: series.last_points(readings, points),
                 store.replies: ingest.reply_frames(answers),
