@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tidemark.functions import payload, scalars
 from tidemark.operators import (bundle, changes, connections as conns, display, history, ingest, routing, series,
                                 state)
-from tidemark.session import new_path
+from tidemark.session import new_path, stored
 from tidemark.sources import tables
 from tidemark.sources.testdata import TestTables
 from tidemark.streaming import jobs
@@ -24,16 +24,21 @@ def query(function: Callable[[TestTables], DataFrame]) -> Callable[[TestTables],
     return function
 
 
+# Small tables derived by joins are stored first: an estimate of a join's size is useless, while the size of
+# files tells Spark whether to broadcast them to the large side or to shuffle.
+
 def updates(t: TestTables) -> DataFrame:
     """Every reading as an update, sent over the newest connection of its device."""
-    sender = conns.newest_connections(t.connections).select("device_id", F.col("conn_key").alias("sender_key"))
+    sender = stored(conns.newest_connections(t.connections)
+                    .select("device_id", F.col("conn_key").alias("sender_key")), "senders")
     return (t.readings.withColumnRenamed("data_id", "update_id").withColumn("kind", F.lit("data"))
             .join(sender, "device_id", "left"))
 
 
 def device_messages(t: TestTables) -> DataFrame:
     """Messages on device connections with their sender's connection, decided."""
-    return jobs.decided(t.messages, t.devices, t.connections, "device")
+    senders = stored(jobs.device_senders(t.devices, t.connections), "senders")
+    return jobs.decided(t.messages, t.devices, t.connections, "device", senders)
 
 
 def dashboard_messages(t: TestTables) -> DataFrame:

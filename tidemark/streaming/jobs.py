@@ -81,21 +81,29 @@ class IngestStore:
         self.points.compact(lambda rows: series.last_points(rows, n))
 
 
-def decided(batch: DataFrame, devices: DataFrame, connections: DataFrame, conn_type: str) -> DataFrame:
+def device_senders(devices: DataFrame, connections: DataFrame) -> DataFrame:
+    """The key registry with each device's newest connection."""
+    newest = conns.newest_connections(connections).select("device_id", F.col("conn_key").alias("sender_key"))
+    return tables.registry(devices).join(newest, "device_id", "left")
+
+
+def decided(batch: DataFrame, devices: DataFrame, connections: DataFrame, conn_type: str,
+            senders: DataFrame | None = None) -> DataFrame:
     """Outcomes of a batch of messages of one kind of connection.
 
     Device messages carry secret_key, dashboard messages user_id. A conn_key column names the sender's
-    connection; without it the newest connection of the device stands in.
+    connection; without it the newest connection of the device stands in. ``senders`` may hold stored
+    rows of :func:`device_senders`, whose real size then decides how the messages are joined.
     """
     fields = with_fields(batch).drop("raw").withColumn("conn_type", F.lit(conn_type))
     if conn_type == "dashboard":
         return ingest.dashboard_outcomes(fields.withColumn("sender_key", F.lit(None).cast("long")))
-    registry = tables.registry(devices)
     if "conn_key" in batch.columns:
-        known = ingest.authenticate(fields.withColumnRenamed("conn_key", "sender_key"), registry)
+        known = ingest.authenticate(fields.withColumnRenamed("conn_key", "sender_key"), tables.registry(devices))
     else:
-        sender = conns.newest_connections(connections).select("device_id", F.col("conn_key").alias("sender_key"))
-        known = ingest.authenticate(fields, registry.join(sender, "device_id", "left"))
+        if senders is None:
+            senders = device_senders(devices, connections)
+        known = ingest.authenticate(fields, senders)
     return ingest.device_outcomes(known)
 
 
