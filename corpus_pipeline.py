@@ -18,7 +18,8 @@ TOXIC = 0.5
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a toxicity score below ``TOXIC``. The labels are those of the documents at hand."""
     model = toxicity.fit(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"))
-    return toxicity.scored(docs, model, tuple(docs.columns)).where(F.col("score") < TOXIC).select(docs.columns)
+    scored = toxicity.scored(docs, model, tuple(docs.columns), "_toxicity_")
+    return scored.where(F.col("_toxicity_score") < TOXIC).select(docs.columns)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -67,11 +67,17 @@ def mixed(values: np.ndarray) -> np.ndarray:
 
 def shingle_hashes(words: list[bytes], k: int) -> np.ndarray:
     """One 64-bit hash for each run of ``k`` words; fewer words count as one run, none as no run."""
-    n = len(words)
-    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, n)
-    k = min(k, n)
-    if not n:
-        return hashes
+    hashes = word_hashes(words)
+    return run_hashes(hashes, min(k, len(words))) if words else hashes
+
+
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+
+
+def run_hashes(hashes: np.ndarray, k: int) -> np.ndarray:
+    """One 64-bit hash for each run of ``k`` of the hashes."""
+    n = len(hashes)
     runs = np.full(n - k + 1, k, np.uint64)
     for j in range(k):
         runs = runs * np.uint64(0x9E3779B97F4A7C15) + hashes[j:n - k + 1 + j]

@@ -157,21 +157,22 @@ def item_blocks(items: DataFrame, block_words: int = BLOCK_WORDS) -> list[list[t
 
 
 def contamination(docs: DataFrame, items: DataFrame, min_words: int = MIN_WORDS,
-                  block_words: int = BLOCK_WORDS, keep_text: bool = True) -> DataFrame:
-    """All rows and columns of ``docs`` with ``contamination``: n_words, spans (word offsets) and items (sorted texts)."""
+                  block_words: int = BLOCK_WORDS, keep_text: bool = True,
+                  name: str = "contamination") -> DataFrame:
+    """All rows and columns of ``docs`` with column ``name``: n_words, spans (word offsets) and items (sorted texts)."""
     spark = docs.sparkSession
-    hits, out = "_hits", docs
+    out = docs
     kind = "struct<n_words:bigint,spans:array<array<int>>,items:array<string>>"
     blocks = item_blocks(items, block_words) or [[]]
     for i, block in enumerate(blocks):
         last = i == len(blocks) - 1
-        out = _one_block(out, spark.sparkContext.broadcast(block), min_words, hits, kind, keep_text or not last)
-    return out.withColumnRenamed(hits, "contamination")
+        out = _one_block(out, spark.sparkContext.broadcast(block), min_words, name, kind,
+                         keep_text or not last, i > 0)
+    return out
 
 
-def _one_block(docs: DataFrame, block, min_words: int, name: str, kind: str, keep_text: bool) -> DataFrame:
-    """Add the hits of one block, united with those already there."""
-    known = name in docs.columns
+def _one_block(docs: DataFrame, block, min_words: int, name: str, kind: str, keep_text: bool, known: bool) -> DataFrame:
+    """Add the hits of one block, united with those of earlier blocks if these are ``known``."""
     left = {name} if keep_text else {name, "text"}
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name not in left)
     schema = f"{fields}, `{name}` {kind}"
@@ -223,18 +224,18 @@ def decontaminated(docs: DataFrame, items: DataFrame, min_words: int = MIN_WORDS
 
     ``n_chars``, where there is such a column, is that of the new text.
     """
-    found = contamination(docs, items, min_words, block_words)
-    hit = F.aggregate("contamination.spans", F.lit(0).cast("bigint"), lambda a, s: a + s[1] - s[0])
-    kept = found.where(hit <= F.lit(max_coverage) * F.col("contamination.n_words"))
+    found = contamination(docs, items, min_words, block_words, name="_contamination")
+    hit = F.aggregate("_contamination.spans", F.lit(0).cast("bigint"), lambda a, s: a + s[1] - s[0])
+    kept = found.where(hit <= F.lit(max_coverage) * F.col("_contamination.n_words"))
 
     @F.pandas_udf("string")
     def cleaned(text, spans):
         return text.combine(spans, lambda t, s: cut(t, [list(x) for x in s]) if t is not None and len(s) else t)
 
-    kept = kept.withColumn("text", F.when(F.size("contamination.spans") > 0,
-                                          cleaned("text", "contamination.spans")).otherwise(F.col("text")))
+    kept = kept.withColumn("text", F.when(F.size("_contamination.spans") > 0,
+                                          cleaned("text", "_contamination.spans")).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        changed = F.size("contamination.spans") > 0
+        changed = F.size("_contamination.spans") > 0
         kept = kept.withColumn("n_chars", F.when(changed, F.length("text").cast(docs.schema["n_chars"].dataType))
                                .otherwise(F.col("n_chars")))
     return kept.select(docs.columns)

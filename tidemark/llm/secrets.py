@@ -62,7 +62,7 @@ def spans(text: Column, kind: str) -> Column:
 
 
 def linked(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
-    """``_key``, ``linked``: weak candidates with complementary parts in their scope. ``docs`` has _key and text."""
+    """``_key``, ``_linked``: weak candidates with complementary parts in their scope. ``docs`` has _key and text."""
     text = F.coalesce(F.col("text"), F.lit(""))
     weak = docs.select("_key", text.alias("text"), F.concat(*[spans(text, k) for k in WEAK]).alias("weak"))
     found = weak.where(F.size("weak") > 0).select(
@@ -78,7 +78,7 @@ def linked(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
            .agg(*[F.bool_or(F.col("role") == r).alias(r) for r in ("id", "secret", "endpoint")]))
     whole = (F.when(F.col("kind") == "weak_secret", F.col("id") | F.col("endpoint"))
              .when(F.col("kind") == "weak_id", F.col("secret")).otherwise(F.col("id") & F.col("secret")))
-    return met.where(whole).groupBy("_key").agg(F.collect_list(F.struct("start", "place", "kind", "end")).alias("linked"))
+    return met.where(whole).groupBy("_key").agg(F.collect_list(F.struct("start", "place", "kind", "end")).alias("_linked"))
 
 
 def found(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
@@ -88,8 +88,8 @@ def found(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     keyed = docs.withColumn("_key", key)
     base = keyed.withColumn("_base", F.array_sort(F.concat(*[spans(text, k) for k in BASE])))
     links = linked(keyed.select("_key", "text"), scope)
-    all_spans = F.array_sort(F.concat("_base", F.coalesce(F.col("linked").cast(SPAN), F.array().cast(SPAN))))
-    return base.join(links, "_key", "left").withColumn("_spans", all_spans).drop("_key", "linked")
+    all_spans = F.array_sort(F.concat("_base", F.coalesce(F.col("_linked").cast(SPAN), F.array().cast(SPAN))))
+    return base.join(links, "_key", "left").withColumn("_spans", all_spans).drop("_key", "_linked")
 
 
 def listed(column: str) -> Column:

@@ -252,8 +252,8 @@ def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return slope, float(beta[1]) - slope * mean
 
 
-def scored(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` columns, the score, and the significant passages (word offsets, p-value)."""
+def scored(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), prefix: str = "") -> DataFrame:
+    """``keep`` columns, the score, and the significant passages (word offsets, p-value); ``prefix`` names these two."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(*keep, F.col("text").alias("_words_of"))
     kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema if f.name != "_words_of")
@@ -262,17 +262,17 @@ def scored(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -
     def run(batch: dict) -> dict:
         known = shared.value
         scores = state.setdefault("scores", Scores(known))
-        out: dict = {k: batch[k] for k in keep} | {"score": [], "passages": []}
+        out: dict = {k: batch[k] for k in keep} | {f"{prefix}score": [], f"{prefix}passages": []}
         for text in batch["_words_of"]:
             words = words_of(text)
             found = segments(np.array(list(map(scores.__getitem__, words))))
             n = len(words)
-            out["score"].append(probability(known, strength(known, found, n)))
+            out[f"{prefix}score"].append(probability(known, strength(known, found, n)))
             risky = [(-math.expm1(-math.exp(-reduced(known, s, n))), a, b) for s, a, b in found]
-            out["passages"].append([{"first": a, "end": b, "p": p} for p, a, b in risky if p <= P_VALUE])
+            out[f"{prefix}passages"].append([{"first": a, "end": b, "p": p} for p, a, b in risky if p <= P_VALUE])
         return out
 
-    return map_rows(rows, run, f"{kinds}score double, passages array<struct<first:int,end:int,p:double>>")
+    return map_rows(rows, run, f"{kinds}`{prefix}score` double, `{prefix}passages` array<struct<first:int,end:int,p:double>>")
 
 
 def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
