@@ -119,7 +119,7 @@ def test_command_replies(spark, frames):
             for r in routing.command_acks(commands, connections, NOW).collect()}
     assert rows == {
         1: (2, False, "true"), 2: (1, False, "null"),
-        3: (0, False, "x"),  # only a closed connection is registered: no offline note, nothing sent
+        3: (0, True, "x"),  # its only connection is closed
         4: (0, True, "x"), 5: (0, True, None), 6: (0, True, "x"),
         7: (0, True, "x"),  # the sender's own connection does not count
         8: (0, True, "x")}

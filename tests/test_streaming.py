@@ -43,7 +43,7 @@ def test_batches_equal_one_pass(spark, t, message_files, tmp_path):
 
     stream = tables.stream_messages(spark, message_files, max_files=1)
     jobs.run(stream, watched, f"{tmp_path}/checkpoint", trigger=None).awaitTermination()
-    assert len(store.readings._complete("batches/batch_id")) == 4
+    assert len(store.readings.of_source("device")._complete("batches/batch_id")) == 4
 
     outcomes = jobs.decided(tables.read_messages(spark, message_files), t.devices, t.connections, "device")
     readings = ingest.new_readings(outcomes)
@@ -63,10 +63,10 @@ def test_batches_equal_one_pass(spark, t, message_files, tmp_path):
     before = rows(store.readings.read())
     work(batch, 0)
     assert rows(store.readings.read()) == before
-    spark.range(3).write.parquet(f"{tmp_path}/readings/batches/batch_id=9")
-    (tmp_path / "readings/batches/batch_id=9/_SUCCESS").unlink()
+    spark.range(3).write.parquet(f"{tmp_path}/readings/sources/source=device/batches/batch_id=9")
+    (tmp_path / "readings/sources/source=device/batches/batch_id=9/_SUCCESS").unlink()
     assert rows(store.readings.read()) == before
-    stored_value = spark.read.parquet(f"{tmp_path}/readings/batches/batch_id=0")
+    stored_value = spark.read.parquet(f"{tmp_path}/readings/sources/source=device/batches/batch_id=0")
     assert "day" in stored_value.columns
 
 
@@ -192,3 +192,40 @@ def test_fixed_schema_reader(spark, t, tmp_path):
     t.readings.write.parquet(str(tmp_path / "r"))
     assert tables.read_table(spark, str(tmp_path / "r"), "sensor_data").schema == READINGS
     assert CONNECTION_EVENTS.fieldNames() == tables.connection_events(t.connections).columns
+
+
+def test_two_sources_share_a_table(spark, tmp_path):
+    table = BatchTable(spark, str(tmp_path / "shared"), "x long")
+    frame = lambda *x: spark.createDataFrame([(i,) for i in x], "x long")
+    values = lambda **k: sorted(r.x for r in table.read(**k).collect())
+    table.write(0, frame(1), "device")
+    table.write(0, frame(2), "dashboard")
+    table.write(0, frame(3), "dashboard")  # a replay
+    table.write(1, frame(4), "device")
+    assert values() == [1, 3, 4] and values(before=1) == [1, 3]
+    table.compact(lambda rows: rows)
+    table.write(2, frame(5), "device")
+    assert values() == [1, 3, 4, 5]
+
+
+def test_batch_that_completes_during_compaction_is_read_once(spark, tmp_path):
+    table = BatchTable(spark, str(tmp_path / "race"), "x long")
+    table.write(0, spark.createDataFrame([(1,)], "x long"))
+
+    def fold(rows):
+        table.write(1, spark.createDataFrame([(2,)], "x long"))
+        return rows
+    table.compact(fold)
+    assert sorted(r.x for r in table.read().collect()) == [1, 2]
+
+
+def test_recent_prunes_days(spark, tmp_path):
+    from datetime import datetime
+
+    from tidemark.operators import history
+    store = jobs.IngestStore(spark, str(tmp_path))
+    rows = spark.sql("SELECT 1L data_id, 2L device_id, 's' sensor_type, 'v' value, "
+                     "TIMESTAMP_NTZ '2024-01-05 00:00:00' ts, DATE '2024-01-05' day")
+    store.readings.write(0, rows.select(*store.readings.schema.fieldNames()), "device")
+    plan = history.recent(store.readings.read(), datetime(2024, 1, 6))._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(day" in plan

@@ -43,12 +43,15 @@ def connection_state(steps: DataFrame) -> DataFrame:
         F.when(closed, F.col("close_ts")).otherwise(started).alias("since"))
 
 
-def newest_connections(connections: DataFrame, mode: str = "single") -> DataFrame:
-    """Authenticated device connections that remain.
+def newest_connections(connections: DataFrame, mode: str = "single", as_of: datetime | None = None) -> DataFrame:
+    """Authenticated device connections that remain; with ``as_of`` only those open at that time.
 
     ``single``: a device keeps only the connection that authenticated last; ``coexist``: all remain.
     """
     live = connections.where((F.col("conn_type") == "device") & F.col("auth_at").isNotNull())
+    if as_of is not None:
+        now = time_literal(connections, as_of, "opened_at")
+        live = live.where((F.col("opened_at") <= now) & (F.col("closed_at").isNull() | (F.col("closed_at") > now)))
     if mode == "coexist":
         return live
     if mode != "single":
@@ -110,8 +113,17 @@ def handshake_verdicts(steps: DataFrame, as_of: datetime) -> DataFrame:
                      .when(F.col("verdict") == "timeout", limit).alias("decided_at")))
 
 
-def handshake_replies(attempts: DataFrame) -> DataFrame:
-    """Reply to each message of a waiting connection."""
+def handshake_replies(attempts: DataFrame, verdicts: DataFrame | None = None) -> DataFrame:
+    """Reply to each message of a waiting connection.
+
+    With ``verdicts``, one row per connection, only messages up to the deciding one are answered, and none at or after
+    the limit: then the socket is closed, or messages are data.
+    """
+    if verdicts is not None:
+        decided = verdicts.select("conn_key", "verdict", "decided_at")
+        late = F.when(F.col("verdict") == "timeout", F.col("ts") >= F.col("decided_at")).otherwise(
+            F.col("ts") > F.col("decided_at"))
+        attempts = attempts.join(decided, "conn_key").where(~F.coalesce(late, F.lit(False)))
     good = F.col("is_auth") & F.col("key_ok")
     return attempts.select(
         "conn_key", "ts", F.when(good, "success").otherwise("error").alias("status"),

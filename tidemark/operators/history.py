@@ -38,7 +38,11 @@ def time_literal(rows: DataFrame, moment: datetime, ts: str = "ts") -> Column:
 
 
 def recent(readings: DataFrame, as_of: datetime, mode: str = "reference") -> DataFrame:
-    return readings.where(F.col("ts") >= time_literal(readings, cutoff(as_of, mode)))
+    """Readings since the cutoff; where the table has day folders, older ones are not read."""
+    since = cutoff(as_of, mode)
+    if "day" in readings.columns:
+        readings = readings.where(F.col("day") >= F.lit(since.date()))
+    return readings.where(F.col("ts") >= time_literal(readings, since))
 
 
 def _only(rows: DataFrame, **values) -> DataFrame:

@@ -104,7 +104,7 @@ def replies(outcomes: DataFrame, connections: DataFrame, as_of: datetime) -> Dat
     # Only commands need the connections of their target.
     keyed = answered.withColumns({"sender_key": F.when(command, F.col("sender_key")),
                                   "target_id": F.when(command, F.col("target_id"))})
-    online = F.col("n_registered") > 0
+    online = F.col("n_sent") > 0
     accepted = data | command
     return with_instances(keyed, connections, as_of).select(
         "msg_id", F.when(accepted, "ack").otherwise("error").alias("status"),

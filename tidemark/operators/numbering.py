@@ -23,6 +23,7 @@ def number_rows(rows: DataFrame, order: list[str], start: int = 0, name: str = "
     offsets = (tagged.groupBy("_part").agg(F.count("*").alias("_n"))
                .select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")))
     inside = F.col("_at").bitwiseAND(F.lit((1 << _PART_BITS) - 1).cast("long"))
-    return (tagged.join(offsets, "_part")
+    # One row per range partition, however many rows there are: bounded by the number of shuffle partitions.
+    return (tagged.join(F.broadcast(offsets), "_part")
             .withColumn(name, F.lit(start + 1).cast("long") + F.col("_before") + inside)
             .drop("_at", "_part", "_before"))

@@ -187,11 +187,10 @@ def feed(records: DataFrame, subs: DataFrame, conn_key: int) -> DataFrame:
 
 
 def device_instances(connections: DataFrame, as_of: datetime) -> DataFrame:
-    """Authenticated connections per device: registered ones and those whose socket is open."""
-    return (connections.where((F.col("conn_type") == "device") & is_authenticated(connections, as_of))
-            .groupBy("device_id").agg(
-                F.count("*").alias("n_registered"),
-                F.count(F.when(is_open(connections, as_of), 1)).alias("n_open")))
+    """Authenticated connections per device that are open; a closed connection is gone."""
+    return (connections.where((F.col("conn_type") == "device") & is_authenticated(connections, as_of)
+                              & is_open(connections, as_of))
+            .groupBy("device_id").agg(F.count("*").alias("n_open")))
 
 
 # Fixed value: note in the reply to a command whose device has no connection.
@@ -199,22 +198,20 @@ OFFLINE_NOTE = "Nilai disimpan (device offline)"
 
 
 def with_instances(commands: DataFrame, connections: DataFrame, as_of: datetime) -> DataFrame:
-    """Add the target's connections, not counting the sender's own: ``n_registered`` and ``n_sent`` (open).
+    """Add ``n_sent``, the target's open connections, not counting the sender's own.
 
     ``commands`` holds msg_id, target_id and sender_key (NULL from a dashboard). Connections are counted
     per device before the join.
     """
     instances = device_instances(connections, as_of).withColumnRenamed("device_id", "target_id")
-    senders = (connections.where((F.col("conn_type") == "device") & is_authenticated(connections, as_of))
-               .select(F.col("conn_key").alias("sender_key"), F.col("device_id").alias("_sender_device"),
-                       is_open(connections, as_of).alias("_sender_open")))
+    senders = (connections.where((F.col("conn_type") == "device") & is_authenticated(connections, as_of)
+                                 & is_open(connections, as_of))
+               .select(F.col("conn_key").alias("sender_key"), F.col("device_id").alias("_sender_device")))
     known = lookup(lookup(commands, instances, "target_id", "msg_id"), senders, "sender_key", "msg_id")
     own = F.col("_sender_device") == F.col("target_id")
-    zero = F.lit(0).cast("long")
-    return known.withColumns({
-        "n_registered": F.coalesce("n_registered", zero) - F.when(own, 1).otherwise(0),
-        "n_sent": F.coalesce("n_open", zero) - F.when(own & F.col("_sender_open"), 1).otherwise(0),
-    }).drop("n_open", "_sender_device", "_sender_open")
+    return known.withColumn(
+        "n_sent", F.coalesce("n_open", F.lit(0).cast("long")) - F.when(own, 1).otherwise(0)
+    ).drop("n_open", "_sender_device")
 
 
 def ack_value(online: Column) -> Column:
@@ -225,10 +222,10 @@ def ack_value(online: Column) -> Column:
 def command_acks(commands: DataFrame, connections: DataFrame, as_of: datetime) -> DataFrame:
     """Reply to every command and the number of device connections it was sent to.
 
-    ``commands`` also holds target_text, sensor_type and value. A device whose connections are all closed
-    but still registered counts as connected; only a device without any gets the offline note.
+    ``commands`` also holds target_text, sensor_type and value. A device without an open connection
+    gets the offline note.
     """
-    online = F.col("n_registered") > 0
+    online = F.col("n_sent") > 0
     return with_instances(commands, connections, as_of).select(
         "msg_id", "target_id", F.lit("ack").alias("status"), F.col("target_text").alias("device_id"),
         F.col("sensor_type").alias("var"), ack_value(online).alias("val"),

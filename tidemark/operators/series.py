@@ -56,7 +56,8 @@ def series_chunks(readings: DataFrame, chunk_bits: int = 10) -> DataFrame:
 def widget_series(widgets: DataFrame, readings: DataFrame, chunk_bits: int = 10) -> DataFrame:
     """Series chunks of every graph widget."""
     graphs = widgets.where(F.col("widget_type") == "graph").select("widget_id", *SENSOR)
-    return series_chunks(readings, chunk_bits).join(graphs, SENSOR)
+    shown = readings.join(graphs.select(*SENSOR).distinct(), SENSOR, "left_semi")  # before sorting and collecting
+    return series_chunks(shown, chunk_bits).join(graphs, SENSOR)
 
 
 def widget_readings(widgets: DataFrame, readings: DataFrame) -> DataFrame:

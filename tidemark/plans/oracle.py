@@ -125,8 +125,8 @@ from_dashboard AS (
          ELSE 'command' END AS outcome
   FROM fields f JOIN registry r ON f.secret_key = r.secret_key),
 instances AS (
-  SELECT conn_key, device_id, closed_at IS NULL OR closed_at > as_of AS is_open
-  FROM connections, clock WHERE conn_type = 'device' AND auth_at <= as_of),
+  SELECT conn_key, device_id FROM connections, clock
+  WHERE conn_type = 'device' AND auth_at <= as_of AND opened_at <= as_of AND (closed_at IS NULL OR closed_at > as_of)),
 commands AS (
   SELECT 'device' AS origin, msg_id, target_text, sensor_type, value, sender_key
   FROM from_device WHERE outcome = 'command'
@@ -138,7 +138,7 @@ acks AS (
     sensor_type AS var,
     CASE WHEN count(i.conn_key) > 0 THEN coalesce(value, 'null') ELSE value END AS val,
     CASE WHEN count(i.conn_key) = 0 THEN 'Nilai disimpan (device offline)' END AS message,
-    count(i.conn_key) FILTER (WHERE i.is_open) AS n_sent
+    count(i.conn_key) AS n_sent
   FROM commands c LEFT JOIN instances i
     ON i.device_id = TRY_CAST(target_text AS BIGINT) AND (c.sender_key IS NULL OR i.conn_key <> c.sender_key)
   GROUP BY origin, msg_id, target_text, sensor_type, value)
@@ -424,7 +424,12 @@ add("T5_connection_state", """
 SELECT conn_key, state, since FROM (
   SELECT *, row_number() OVER (PARTITION BY conn_key ORDER BY since DESC, seq DESC) AS n FROM steps)
 WHERE n = 1""".strip())
-add("W5_newest_connection", "SELECT device_id, conn_key, auth_at FROM newest")
+add("W5_newest_connection", """
+SELECT device_id, conn_key, auth_at FROM (
+  SELECT *, row_number() OVER (PARTITION BY device_id ORDER BY auth_at DESC, conn_key DESC) AS n
+  FROM opened WHERE conn_type = 'device' AND auth_at IS NOT NULL) WHERE n = 1""")
+add("W5_coexisting_connections", """
+SELECT device_id, conn_key, auth_at FROM opened WHERE conn_type = 'device' AND auth_at IS NOT NULL""")
 add("T4_handshake", """
 SELECT conn_key, opened_at,
   CASE WHEN is_auth AND ts < opened_at + INTERVAL 20 SECOND
@@ -436,7 +441,7 @@ SELECT conn_key, ts, CASE WHEN device_id IS NOT NULL THEN 'success' ELSE 'error'
   CASE WHEN device_id IS NOT NULL THEN 'Terauthentikasi sebagai "' || device_name || '"'
        WHEN is_auth THEN 'Secret key tidak valid'
        ELSE 'Kirim {"action":"auth","key":"..."} untuk authenticating' END AS message, device_id
-FROM handshakes""")
+FROM handshakes WHERE ts < opened_at + INTERVAL 20 SECOND""")
 add("K4_delete_results", "SELECT request_id, device_id, user_id, CAST(status AS INTEGER) AS status FROM delete_results")
 add("J14_after_device_delete", """
 SELECT device_id, user_id, device_name FROM devices WHERE device_id NOT IN (SELECT device_id FROM deleted)""")

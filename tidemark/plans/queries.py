@@ -357,7 +357,13 @@ def T5_connection_state(t):
 
 @query
 def W5_newest_connection(t):
-    return conns.newest_connections(t.connections).select("device_id", "conn_key", "auth_at")
+    return conns.newest_connections(t.connections, as_of=now(t)).select("device_id", "conn_key", "auth_at")
+
+
+@query
+def W5_coexisting_connections(t):
+    return (conns.newest_connections(t.connections, "coexist", now(t))
+            .select("device_id", "conn_key", "auth_at"))
 
 
 @query
@@ -369,7 +375,9 @@ def T4_handshake(t):
 
 @query
 def T4_handshake_replies(t):
-    return conns.handshake_replies(conns.auth_attempts(t.handshakes, tables.registry(t.devices)))
+    attempts = conns.auth_attempts(t.handshakes, tables.registry(t.devices))
+    steps = conns.handshake_steps(t.handshakes.select("conn_key", "opened_at"), attempts)
+    return conns.handshake_replies(attempts, conns.handshake_verdicts(steps, now(t)))
 
 
 @query

@@ -41,6 +41,7 @@ class IngestStore:
 
     spark: SparkSession
     folder: str
+    kept_points: int = series.LIVE_POINTS
 
     def _table(self, name: str, schema: str, *partition_by: str) -> BatchTable:
         return BatchTable(self.spark, f"{self.folder}/{name}", schema, partition_by)
@@ -73,12 +74,14 @@ class IngestStore:
         return state.current_values(self.latest.read())
 
     def live_series(self, n: int = series.LIVE_POINTS) -> DataFrame:
+        if n > self.kept_points:
+            raise ValueError(f"the store keeps {self.kept_points} points per sensor")
         return series.live_series(self.points.read(), n)
 
-    def compact(self, n: int = series.LIVE_POINTS) -> None:
+    def compact(self) -> None:
         """Fold the per-batch state; to be run now and then, between batches or by its own job."""
         self.latest.compact(state.current_values)
-        self.points.compact(lambda rows: series.last_points(rows, n))
+        self.points.compact(lambda rows: series.last_points(rows, self.kept_points))
 
 
 def device_senders(devices: DataFrame, connections: DataFrame) -> DataFrame:
@@ -107,19 +110,20 @@ def decided(batch: DataFrame, devices: DataFrame, connections: DataFrame, conn_t
     return ingest.device_outcomes(known)
 
 
-def write_all(batch_id: int, tables_rows: dict[BatchTable, DataFrame]) -> None:
-    """Write several tables of a batch at the same time; the first failure fails the batch."""
+def write_all(batch_id: int, tables_rows: dict[BatchTable, DataFrame], source: str | None = None) -> None:
+    """Write several tables of a batch of one source at the same time; the first failure fails the batch."""
     with ThreadPoolExecutor(len(tables_rows)) as pool:
-        for done in [pool.submit(table.write, batch_id, rows) for table, rows in tables_rows.items()]:
+        for done in [pool.submit(table.write, batch_id, rows, source) for table, rows in tables_rows.items()]:
             done.result()
 
 
 def ingest_batch(store: IngestStore, dimensions: Callable[[], tuple[DataFrame, DataFrame]],
-                 conn_type: str = "device", points: int = series.LIVE_POINTS) -> Callable[[DataFrame, int], None]:
+                 conn_type: str = "device") -> Callable[[DataFrame, int], None]:
     """The work per micro-batch: store readings, state, replies, commands and updates.
 
     ``dimensions`` returns devices and connections and is called per batch, so that new and deleted
-    devices are seen. Every write replaces its own batch folder, so a replay repeats nothing.
+    devices are seen. Every write replaces its own batch folder, so a replay repeats nothing; device and
+    dashboard jobs may share a store, for each writes below its own kind of connection.
     """
     def each_batch(batch: DataFrame, batch_id: int) -> None:
         devices, connections = dimensions()
@@ -134,10 +138,10 @@ def ingest_batch(store: IngestStore, dimensions: Callable[[], tuple[DataFrame, D
             write_all(batch_id, {
                 store.readings: readings.withColumn("day", F.to_date("ts")),
                 store.latest: state.current_values(ingest.new_values(outcomes)),
-                store.points: series.last_points(readings, points),
+                store.points: series.last_points(readings, store.kept_points),
                 store.replies: ingest.reply_frames(answers),
                 store.commands: routing.command_frames(ingest.new_commands(outcomes)),
-                store.outbox: routing.outbox(owned)})
+                store.outbox: routing.outbox(owned)}, conn_type)
         finally:
             outcomes.unpersist()
     return each_batch
@@ -168,7 +172,7 @@ def delete_job(requests: DataFrame, devices: Callable[[], DataFrame], connection
         as_of = history.latest_time(batch)
         if as_of is None:
             return
-        earlier = deleted.read().where(F.col("at_batch") < batch_id)
+        earlier = deleted.read(before=batch_id)  # not this batch's own folder, which a replay overwrites
         left = conns.without(devices(), earlier.select("device_id"), "device_id")
         gone = conns.deleted_ids(conns.delete_results(batch, left, "device_id"), "device_id")
         deleted.write(batch_id, gone.withColumn("at_batch", F.lit(batch_id).cast("long")))

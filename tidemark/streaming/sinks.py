@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, functions as F
 
 
 def write_export(rows: DataFrame, path: str) -> None:
-    """Export of one device as CSV with a header, newest first across the numbered files."""
-    (rows.select("ts", "sensor_type", "value").orderBy(F.desc("ts"))
+    """Export of one device as CSV with a header, newest first across the numbered files; ties by data_id."""
+    (rows.orderBy(F.desc("ts"), F.desc("data_id")).select("ts", "sensor_type", "value")
      .write.mode("overwrite").option("header", True).csv(path))
 
 
@@ -18,9 +18,9 @@ def write_exports(rows: DataFrame, path: str, buckets: int = 256) -> None:
     device and time splits a hot device over several files, in time order.
     """
     (rows.withColumn("bucket", F.pmod(F.xxhash64("device_id"), F.lit(buckets)))
+     .repartitionByRange("bucket", "device_id", F.desc("ts"), F.desc("data_id"))
+     .sortWithinPartitions("bucket", "device_id", F.desc("ts"), F.desc("data_id"))
      .select("bucket", "device_id", "ts", "sensor_type", "value")
-     .repartitionByRange("bucket", "device_id", F.desc("ts"))
-     .sortWithinPartitions("bucket", "device_id", F.desc("ts"))
      .write.mode("overwrite").partitionBy("bucket").option("header", True).csv(path))
 
 
