@@ -22,6 +22,13 @@ def fields(spark, *raws):
     ('{"var":"a","val":1.25e-3}', "a", "0.00125", True),
     ('{"var":"a","val":1e-7}', "a", "1e-7", True),
     ('{"var":"a","val":1e21}', "a", "1e+21", True),
+    ('{"var":"a","val":5e20}', "a", "500000000000000000000", True),
+    ('{"var":"a","val":1.2345678901234567e-5}', "a", "0.000012345678901234568", True),
+    ('{"var":"a","val":-1.5e-7}', "a", "-1.5e-7", True),
+    ('{"var":"a","val":0.0000001}', "a", "1e-7", True),
+    ('{"var":"a","val":12345678901234567890}', "a", "12345678901234567000", True),
+    ('{"var":"a","val":"12345678901234567890"}', "a", "12345678901234567890", True),
+    ('{"var":"a","val":123.456e1}', "a", "1234.56", True),
     ('{"var":"a","val":0e0}', "a", "0", True),
     ('{"var":"a","val":true}', "a", "true", True),
     ('{"var":"a","val":""}', "a", "", True),

@@ -183,9 +183,28 @@ def test_exports(spark, t, tmp_path):
 
 
 def test_queue_records(spark):
-    records = spark.createDataFrame([(1, "devices", 7, "{}")], "update_id long, audience string, skip_conn_key long, payload string")
-    row = sinks.queue_records(records).first()
-    assert (row.key, row.value, bytes(row.headers[0]["value"])) == ("devices", "{}", b"7")
+    records = spark.createDataFrame(
+        [(i, "devices", 7, f'{{"device_id":{i % 50}}}') for i in range(100)] + [(100, "user:1", None, "{}")],
+        "update_id long, audience string, skip_conn_key long, payload string")
+    found = sinks.queue_records(records, parts=8).collect()
+    assert (found[-1].key, found[-1].value) == ("user:1", "{}") and bytes(found[0].headers[0]["value"]) == b"7"
+    keys = [r.key for r in found[:-1]]
+    assert keys[:50] == keys[50:] and 4 < len(set(keys)) <= 8 and all(k.startswith("devices:") for k in keys)
+
+
+def test_request_without_opening_leaves_no_state(spark, tmp_path):
+    at = lambda s: datetime(2024, 1, 1, 0, 0, s)
+    first = [(1, at(0), "open"), (1, at(1), "good"), (2, at(1), "bad")]
+    source, schema = str(tmp_path / "events"), "conn_key long, ts timestamp, event string"
+    for later in (first, [(-1, datetime(2030, 1, 1), "open")], [(-2, datetime(2031, 1, 1), "open")]):
+        spark.createDataFrame(later, schema).coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+    run = (handshake.handshake_verdict_stream(stream).writeStream.format("parquet").option("path", str(tmp_path / "out"))
+           .option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start())
+    run.awaitTermination()
+    assert {(r.conn_key, r.verdict) for r in spark.read.parquet(str(tmp_path / "out")).collect()} >= {(1, "accepted")}
+    state = spark.read.format("statestore").option("stateVarName", "waiting").load(str(tmp_path / "c"))
+    assert {r.key.conn_key for r in state.select("key").collect()} <= {-1, -2}
 
 
 def test_fixed_schema_reader(spark, t, tmp_path):

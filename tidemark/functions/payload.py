@@ -49,18 +49,36 @@ def as_text(value: Column) -> Column:
 
 
 def as_number_text(value: Column) -> Column:
-    """Like :func:`as_text`, also for numbers written with an exponent (1e3 is printed 1000).
+    """Like :func:`as_text`, with every number as a browser prints it: the shortest digits of the double, in full
+    from 1e-6 up to 1e21, else with an exponent.
 
-    Only such a number is kept as a double, and only a double's text ends in ``.0`` or has an exponent;
-    the costlier look at the type is limited to texts of that form.
+    Texts that can differ from that form are those with an exponent, ending in ``.0``, of 16 or more characters or
+    below 1e-6; the costlier look at the type and the digits is limited to them.
     """
     plain = value.cast("string")
-    number = plain.try_cast("double")
-    trimmed = F.regexp_replace(plain.try_cast("decimal(38,18)").cast("string"), r"\.?0+$", "")
-    exponent = F.regexp_replace(F.replace(F.lower(plain), F.lit(".0e"), F.lit("e")), r"e(\d)", "e+$1")
-    printed = (F.when(F.schema_of_variant(value) != "DOUBLE", plain).when(number == 0, "0")
-               .when(F.abs(number).between(1e-6, 1e19), trimmed).otherwise(exponent))
-    return F.when(plain.endswith(".0") | plain.contains("E"), printed).otherwise(plain)
+    is_number = F.schema_of_variant(value).rlike("^(DOUBLE|DECIMAL|BIGINT)")
+    unusual = plain.rlike(r"^-?(?:[0-9.]{16,}|0\.000000[0-9]*|[0-9.]+E-?[0-9]+|[0-9]+\.0|0|Infinity)$")
+    return F.when(unusual, F.when(is_number, browser_number(plain.try_cast("double"))).otherwise(plain)).otherwise(plain)
+
+
+def browser_number(number: Column) -> Column:
+    """A double as a browser prints it, by moving the point within the digits of its text."""
+    text = number.cast("string")
+    whole = F.regexp_extract(text, r"^-?([0-9]*)", 1)
+    every = F.concat(whole, F.regexp_extract(text, r"\.([0-9]*)", 1))
+    leading = F.regexp_extract(every, "^(0*)", 1)
+    digits = F.regexp_replace(every, "^0+|0+$", "")
+    exponent = F.coalesce(F.regexp_extract(text, r"E(-?[0-9]+)$", 1).try_cast("int"), F.lit(0))
+    n, k = F.length(whole) + exponent - F.length(leading), F.length(digits)  # the point stands after n digits
+    zeros = lambda count: F.repeat(F.lit("0"), count)
+    rest = F.substring(digits, 2, 2**31 - 1)
+    size = (F.when((k <= n) & (n <= 21), F.concat(digits, zeros(n - k)))
+            .when((0 < n) & (n <= 21), F.concat(digits.substr(F.lit(1), n), F.lit("."), digits.substr(n + 1, k)))
+            .when((-6 < n) & (n <= 0), F.concat(F.lit("0."), zeros(-n), digits))
+            .otherwise(F.concat(F.substring(digits, 1, 1), F.when(rest != "", F.concat(F.lit("."), rest)).otherwise(""),
+                                F.when(n > 0, "e+").otherwise("e"), (n - 1).cast("string"))))
+    return (F.when(number == 0, "0").when(text.rlike("^-?[0-9]"), F.concat(F.when(number < 0, "-").otherwise(""), size))
+            .otherwise(text))
 
 
 def truthy(value: Column) -> Column:

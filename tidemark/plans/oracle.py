@@ -16,9 +16,10 @@ devices AS (
          CASE WHEN c_custkey % 50 = 7 THEN NULL WHEN c_custkey % 50 = 8 THEN ''
               ELSE md5('s' || c_custkey::VARCHAR) END AS secret_key,
          CASE WHEN c_mktsegment = 'BUILDING' THEN 'dev-' || c_custkey::VARCHAR END AS public_slug
-  FROM customer WHERE c_acctbal >= -500),
+  FROM customer),
 sensor_data AS (
-  SELECT event_id + 1 AS data_id, user_id AS device_id, event_type AS sensor_type,
+  SELECT event_id + 1 AS data_id, CASE WHEN event_id % 53 = 0 THEN user_id + 1000000000 ELSE user_id END AS device_id,
+         event_type AS sensor_type,
          CASE WHEN event_type = 'error' THEN CASE WHEN value >= 25 THEN 'true' ELSE 'false' END
               WHEN event_id % 97 = 0 THEN '' ELSE CAST(value AS VARCHAR) END AS value, ts
   FROM events),
@@ -201,8 +202,9 @@ slug_results AS (
                        WHEN owned AND by_device IS NOT NULL AND by_device <> device_id THEN 409 ELSE 200 END
                   AS BIGINT) AS status FROM slug_claimed)),
 delete_requests AS (
-  SELECT o_orderkey AS request_id, o_custkey AS device_id, user_id
-  FROM owned_requests WHERE o_orderpriority = '1-URGENT'),
+  SELECT o_orderkey AS request_id, o_custkey AS device_id,
+    CASE WHEN o_orderpriority = '1-URGENT' THEN user_id ELSE (user_id + 2) % 25 END AS user_id
+  FROM owned_requests),
 delete_results AS (
   SELECT r.request_id, r.device_id, r.user_id,
     CAST(CASE WHEN d.device_id IS NOT NULL AND row_number() OVER (

@@ -49,7 +49,7 @@ class TestTables:
     @cached_property
     def devices(self) -> DataFrame:
         key = F.col("c_custkey")
-        return (self.raw("customer").where(F.col("c_acctbal") >= -500).select(
+        return (self.raw("customer").select(
             key.alias("device_id"),
             F.col("c_nationkey").cast("long").alias("user_id"),
             F.when(key % 10 == 0, "Shared").otherwise(F.col("c_name")).alias("device_name"),
@@ -65,8 +65,10 @@ class TestTables:
                         F.when(F.col("value") >= 25, "true").otherwise("false"))
                  .when(F.col("event_id") % 97 == 0, "")
                  .otherwise(text("value")))
+        # Readings of a device that is not registered.
+        device = F.when(F.col("event_id") % 53 == 0, F.col("user_id") + 1_000_000_000).otherwise(F.col("user_id"))
         return self.raw("events").select(
-            (F.col("event_id") + 1).alias("data_id"), F.col("user_id").alias("device_id"),
+            (F.col("event_id") + 1).alias("data_id"), device.alias("device_id"),
             F.col("event_type").alias("sensor_type"), value.alias("value"), "ts")
 
     @cached_property
@@ -174,8 +176,9 @@ class TestTables:
 
     @cached_property
     def delete_requests(self) -> DataFrame:
-        return (self._owned_requests().where(F.col("o_orderpriority") == "1-URGENT")
-                .select("request_id", "device_id", "user_id"))
+        """Every order asks; those that are not urgent come from someone else and are refused."""
+        user = F.when(F.col("o_orderpriority") == "1-URGENT", F.col("user_id")).otherwise((F.col("user_id") + 2) % 25)
+        return self._owned_requests().select("request_id", "device_id", user.alias("user_id"))
 
     def _owned_requests(self) -> DataFrame:
         """Requests about a device; those of pending orders come from someone else."""

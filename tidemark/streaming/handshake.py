@@ -39,11 +39,19 @@ class HandshakeProcessor(StatefulProcessor):
                 # At equal times the accepted request wins, so it is looked at last.
                 if len(at) and (first_ms is None or at.min() < first_ms or (event == "good" and at.min() == first_ms)):
                     first_ms, first = int(at.min()), event
+        if limit is None:  # no opening known: kept for a late one, but never without a timer
+            self.handle.registerTimer(first_ms + LIMIT_MS)
         self.waiting.update((limit, first_ms, first))
         yield pd.DataFrame(columns=VERDICT.fieldNames())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        limit, first_ms, first = self.waiting.get()
+        limit, first_ms, first = self.waiting.get() if self.waiting.exists() else (None, None, None)
+        if limit is None or expiredTimerInfo.getExpiryTimeInMs() < limit:
+            # A request without an opening has waited long enough, or its timer comes before the limit.
+            if limit is None:
+                self.waiting.clear()
+            yield pd.DataFrame(columns=VERDICT.fieldNames())
+            return
         self.waiting.clear()
         decided = first_ms is not None and first_ms < limit
         verdict = {"good": "accepted", "bad": "bad_key"}[first] if decided else "timeout"

@@ -24,9 +24,15 @@ def write_exports(rows: DataFrame, path: str, buckets: int = 256) -> None:
      .write.mode("overwrite").partitionBy("bucket").option("header", True).csv(path))
 
 
-def queue_records(records: DataFrame) -> DataFrame:
-    """Outbox records as key and value of a message queue; all records of an audience share a key."""
-    return records.select(F.col("audience").alias("key"), F.col("payload").alias("value"),
+def queue_records(records: DataFrame, parts: int = 32) -> DataFrame:
+    """Outbox records as key and value of a message queue; records of an audience share a key.
+
+    The audience ``devices`` hears every device, so it is spread over ``parts`` keys, ``devices:0`` and on; a
+    listener reads them all. The updates of one device share a key, so their order holds.
+    """
+    part = F.pmod(F.xxhash64(F.get_json_object("payload", "$.device_id")), F.lit(parts)).cast("string")
+    key = F.when(F.col("audience") == "devices", F.concat(F.lit("devices:"), part)).otherwise(F.col("audience"))
+    return records.select(key.alias("key"), F.col("payload").alias("value"),
                           F.array(F.struct(F.lit("skip_conn_key").alias("key"),
                                            F.col("skip_conn_key").cast("string").cast("binary").alias("value")))
                           .alias("headers"))
