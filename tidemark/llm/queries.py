@@ -12,6 +12,7 @@ from tidemark.llm.extraction import op5_extraction
 from tidemark.llm.licenses import op8_licenses
 from tidemark.llm.near_duplicates import op4_near_duplicates
 from tidemark.llm.neighbours import op7_neighbours
+from tidemark.llm.oracle import ORACLE as ORACLE
 from tidemark.llm.quality import op3_quality
 from tidemark.llm.secrets import op6_secrets
 from tidemark.llm.substrings import op1_substrings
@@ -20,4 +21,3 @@ from tidemark.llm.toxicity import op9_toxicity
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_substrings, op2_decontamination, op3_quality, op4_near_duplicates, op5_extraction, op6_secrets, op7_neighbours,
     op8_licenses, op9_toxicity, op10_bpe)}
-ORACLE: dict[str, str] = {}
