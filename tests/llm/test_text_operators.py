@@ -138,6 +138,19 @@ def test_repeated_passages(spark, docs):
     assert substrings.substring_duplicates(empty(spark)).count() == 0
 
 
+def test_passages_behind_unrelated_first_documents(spark):
+    # 0 and 9 share lines with 3 and 5, but no passage of 50 words; 3 and 5 repeat one that holds those lines.
+    rng = random.Random(5)
+    lines = [prose(11, rng) for _ in range(5)]
+    fill = lambda n: prose(n, rng)
+    passage = " ".join(lines)
+    rows = [(0, " ".join(f"{line} {fill(30)}" for line in lines)), (3, f"{fill(40)} {passage} {fill(20)}"),
+            (5, f"{fill(15)} {passage} {fill(33)}"), (9, " ".join(f"{fill(30)} {line}" for line in lines)), (12, fill(200))]
+    out = {r.doc_id: r for r in substrings.substring_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i: r.class_id for i, r in out.items()} == {0: 0, 3: 3, 5: 3, 9: 9, 12: 12}
+    assert out[3].n_links == out[5].n_links == 1
+
+
 def test_compact_windows_equal_brute_force():
     import numpy as np
 
