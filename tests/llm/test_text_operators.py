@@ -206,6 +206,22 @@ def test_extraction(spark):
     assert all(out[10 + i] == f"Body text number {i} goes here and on" for i in range(6))
 
 
+def pages_of(spark, rows):
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    return {r["page_id"]: r["text"] for r in extraction.extracted(frame).collect()}
+
+
+def test_template_selects_the_article(spark):
+    # An <article> teaser beside the text is no article; copies do not make their own text a template.
+    page = ('<html><body><div class=top>Site name and its slogan</div><div class=text><p>Story {0} begins here and goes on with words '
+            '{0}</p><p>{1}</p></div><div class=more><article><a>Teaser {0}</a></article></div></body></html>')
+    rows = [(i, f"http://d.example/{i}", page.format(i, f"last line {i}")) for i in range(4)]
+    rows += [(10 + i, f"http://d.example/{10 + i}", page.format("copied", "the last line of copies")) for i in range(8)]
+    out = pages_of(spark, rows)
+    assert all(out[i] == f"Story {i} begins here and goes on with words {i} last line {i}" for i in range(4))
+    assert all(out[10 + i] == "Story copied begins here and goes on with words copied the last line of copies" for i in range(8))
+
+
 def test_segments_equal_brute_force():
     import numpy as np
 
