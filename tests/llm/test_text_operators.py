@@ -222,6 +222,20 @@ def test_template_selects_the_article(spark):
     assert all(out[10 + i] == "Story copied begins here and goes on with words copied the last line of copies" for i in range(8))
 
 
+def test_names_never_empty_a_page(spark):
+    text = "<article class={1}><p>Body of page {0}</p><section class=text-share>kept {0}</section><xmp>a<b&amp;</xmp><math><mi>x</mi></math></article>"
+    shells = ["<html class=cookie-consent><body class=has-sidebar>{}</body></html>", "<html class=cookies><body class=sidebar>{}</body></html>",
+              "<html><body><div id=page class='wide comments'>{}</div></body></html>", "<html><body><main class=search>{}</main></body></html>"]
+    rows = [(i, f"http://{i}.example/", shell.format(text.format(i, "promotion"))) for i, shell in enumerate(shells)]
+    rows += [(8, "http://8.example/", "<html><body><div class=search><p>All there is</p></div></body></html>")]
+    # On a host with a template only blocks that recur go.
+    many = "<html><body><article><p>Text number {0} of this host</p>{1}<div class=ad>Buy {0}</div></article></body></html>"
+    rows += [(20 + i, f"http://e.example/{i}", many.format(i, "<div class=notice>mind this</div>" if i == 2 else "")) for i in range(5)]
+    out = pages_of(spark, rows)
+    assert [out[i] for i in range(4)] == [f"Body of page {i} kept {i} a<b&amp; x" for i in range(4)] and out[8] == "All there is"
+    assert [out[20 + i] for i in range(5)] == [f"Text number {i} of this host" + " mind this" * (i == 2) for i in range(5)]
+
+
 def test_segments_equal_brute_force():
     import numpy as np
 

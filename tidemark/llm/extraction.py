@@ -12,9 +12,9 @@ it: the article is widened to the mark around it, and narrowed to marks below it
 texts (the same on most pages) are left out but inside such a mark. Where a page has no template article (few pages, another
 layout), the marks are read, else the main element, else the body.
 
-Left out as no article text are elements by their tag (``ASIDE_TAGS``), and those that have a word of ``ASIDE_WORDS`` in
-class, id or role, if blocks of that tag and words recur on the host; a host with too few pages to tell goes
-by the words.
+Left out as no article text are elements by their tag (``ASIDE_TAGS``), and those that have a word of ``ASIDE_WORDS`` as a
+whole token of class, id or role, if blocks of that tag and words recur on the host; a host with too few pages to tell goes
+by the words. Never left out by words are html, body, main, an article and what holds the article.
 
 Character references are decoded, white space inside a block becomes one space, blocks are joined by one space. Null and
 empty html has an empty text. Pages without a host form a group of their own. Repeated rows are each answered; empty
@@ -39,7 +39,7 @@ SLOT_SHARE = 0.6       # share of the host's slot text below the deduced article
 BROADCAST_HOSTS = 5_000
 
 # Names of HTML.
-RAW = ("script", "style", "noscript", "template", "iframe", "title", "textarea", "svg", "math")
+RAW = ("script", "style", "noscript", "template", "iframe", "title", "textarea", "svg")
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "b", "bdi", "bdo", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "mark", "q", "s",
           "samp", "small", "span", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "math", "mi", "mn", "mo", "mrow", "msub",
@@ -58,6 +58,7 @@ ASIDE_WORDS = {"ad", "ads", "advert", "adverts", "advertisement", "advertising",
                "comment-form", "related-posts", "related-articles", "site-header", "site-footer", "site-nav", "social-share",
                "share-buttons", "cookie-banner", "cookie-notice", "cookie-consent", "search-form", "login-form", "newsletter-signup",
                "ad-banner", "ad-container", "ad-slot", "adsbygoogle"}
+NEVER_ASIDE = {"html", "body", "main", "article"}
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(" + "|".join([*RAW, "xmp"]) + r")\b[^>]*?(?:/>|>.*?(?:</\1\s*>|\Z))"
                    r"|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S | re.I)
@@ -68,7 +69,7 @@ class Element:
     __slots__ = ("tag", "path", "above", "depth", "named", "mark", "never", "aside", "marked", "chars")
 
     def __init__(self, tag: str, names: str, above: "Element | None"):
-        words = set(re.findall(r"[a-z]+", names))
+        words = set(names.split())
         self.tag, self.above = tag, above
         self.depth = above.depth + 1 if above else 1
         self.path = xxhash.xxh3_64_intdigest(f"{above.path if above else 0}/{tag}.{names}") >> 1
@@ -76,7 +77,7 @@ class Element:
         words &= ASIDE_WORDS
         # The same for all blocks of that tag and words, wherever they stand.
         self.named = (xxhash.xxh3_64_intdigest(f"{tag} {' '.join(sorted(words))}", 5) >> 1
-                      if words else 0)
+                      if words and not self.mark and tag not in NEVER_ASIDE else 0)
         self.never = bool(above and above.never) or tag in ASIDE_TAGS   # by tag
         self.aside, self.chars = self.never, 0
         self.marked = above.marked if above and above.marked else self if self.mark and not self.never else None
