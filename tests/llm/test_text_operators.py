@@ -151,6 +151,35 @@ def test_passages_behind_unrelated_first_documents(spark):
     assert out[3].n_links == out[5].n_links == 1
 
 
+def test_links_and_spans_of_passages(spark):
+    # Every pair with a common passage of 50 words is a link, and all places of it are spans, whatever else connects them.
+    rng = random.Random(11)
+    notice, other, third = prose(50, rng), prose(55, rng), prose(52, rng)
+    rows = [(i, f"{prose(20, rng)} {notice} {prose(15, rng)}") for i in range(30)]
+    rows[7] = (7, f"{rows[7][1]} {other} {prose(9, rng)} {other} {prose(3, rng)}")
+    rows[21] = (21, f"{prose(4, rng)} {other} {rows[21][1]} {third}")
+    rows += [(40, f"{third} {prose(30, rng)}"), (41, f"{prose(12, rng)} {other}"), (42, prose(120, rng))]
+    words = {i: words_of(t) for i, t in rows}
+    places = {i: {tuple(w[k:k + 50]): None for k in range(len(w) - 49)} for i, w in words.items()}
+    out = {r.doc_id: r for r in substrings.substring_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, w in words.items():
+        others = [j for j in words if j != i and places[i].keys() & places[j].keys()]
+        hit = {p for k in range(len(w) - 49) if any(tuple(w[k:k + 50]) in places[j] for j in others) for p in range(k, k + 50)}
+        got = {p for s in out[i].spans.split(",") if s for p in range(*map(int, s.split(":")))}
+        assert out[i].n_links == len(others) and hit <= got and len(got - hit) <= 12
+
+
+def test_link_counts_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(substrings, "BLOCK", 3)
+    rng = random.Random(12)
+    rows = sorted({(d, rng.randrange(12)) for d in range(40) for _ in range(2)})
+    frame = spark.createDataFrame(rows, "doc long, passage long")
+    labels = substrings.components(frame.selectExpr("doc AS a", "passage + 1000 AS b"))
+    of = {d: {p for e, p in rows if e == d} for d, _ in rows}
+    got = {r.doc: r.n_links for r in substrings.link_counts(frame, labels).collect()}
+    assert got == {d: sum(1 for e in of if e != d and of[e] & of[d]) for d in of}
+
+
 def test_compact_windows_equal_brute_force():
     import numpy as np
 
