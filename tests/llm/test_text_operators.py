@@ -180,6 +180,22 @@ def test_link_counts_in_blocks(spark, monkeypatch):
     assert got == {d: sum(1 for e in of if e != d and of[e] & of[d]) for d in of}
 
 
+def near_misses(places, n=1000):
+    """Pairs of 50-word passages with changed words that too few functions agree on."""
+    rng = random.Random(13)
+    missed = 0
+    for _ in range(n):
+        one = [str(rng.random()).encode() for _ in range(50)]
+        two = [b"changed" if i in places else w for i, w in enumerate(one)]
+        key, row, *_ = substrings.joint_windows([one, two], 46)
+        missed += len(set(key[row == 0].tolist()) & set(key[row == 1].tolist())) < substrings.ENOUGH
+    return missed
+
+
+def test_functions_agree_on_near_passages():
+    assert near_misses({25}) <= 2 and near_misses({20, 24}) <= 8  # 41 and 37 of 46 runs: 0.01 % and 0.24 % are expected
+
+
 def test_compact_windows_equal_brute_force():
     import numpy as np
 
