@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 WORD_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32
                    for c in range(256))
 
+SLICE_BYTES = 4 << 20
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -49,6 +51,29 @@ def map_rows(frame: DataFrame, function: Callable[[dict], Iterator[dict] | list[
     return frame.mapInArrow(batches, schema)
 
 
+def byte_slices(batch: pa.RecordBatch, budget: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch of at most ``budget`` bytes, or of one row."""
+    if batch.nbytes <= budget or batch.num_rows <= 1:
+        yield batch
+        return
+    half = batch.num_rows // 2
+    yield from byte_slices(batch.slice(0, half), budget)
+    yield from byte_slices(batch.slice(half), budget)
+
+
+def map_slices(frame: DataFrame, function: Callable[[dict], dict], schema: str) -> DataFrame:
+    """As :func:`map_rows`, but ``function`` sees at most ``SLICE_BYTES`` of rows at a time, however long texts are."""
+    target = arrow_schema(frame.sparkSession, schema)
+
+    def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in source:
+            for part in byte_slices(batch):
+                out = function({n: c.to_pylist() for n, c in zip(part.schema.names, part.columns)})
+                yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in target], schema=target)
+
+    return frame.mapInArrow(batches, schema)
+
+
 def arrow_schema(spark: SparkSession, schema: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType

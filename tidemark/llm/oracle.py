@@ -80,8 +80,30 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base,
        CASE WHEN n_base > 0 THEN 1.0 ELSE least(coalesce(share, 0.0), 1.0) END::DOUBLE AS score
 FROM doc LEFT JOIN bases USING (doc_id) LEFT JOIN best USING (doc_id) LEFT JOIN named USING (doc_id)"""
 
+_ROUND = """
+near{n} AS (SELECT rid, min({{'d': d, 'j': j}}) AS best FROM (
+  SELECT rid, j, list_sum(list_transform(list_zip(v, c), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS d FROM kept, center{n})
+  GROUP BY rid)"""
+_MOVE = """,
+total{n} AS (SELECT best.j AS j, i, sum(v[i]) AS s, count(*) AS n
+             FROM near{n} JOIN kept USING (rid), range(1, 65) t(i) GROUP BY ALL),
+center{next} AS (SELECT center{n}.j, coalesce(m, c) AS c FROM center{n} LEFT JOIN (
+  SELECT j, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS m FROM total{n} GROUP BY j) t ON t.j = center{n}.j)"""
+
+CLUSTERING = """
+WITH kept AS (SELECT row_number() OVER () AS rid, vec_id,
+                     list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+              FROM embeddings WHERE len(list_filter(embedding, lambda x: isfinite(x))) = 64 AND len(embedding) = 64),
+center0 AS (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id), v) - 1 AS j, v AS c FROM kept QUALIFY j < 16),""" + (
+    ",".join(_ROUND.format(n=n) + _MOVE.format(n=n, next=n + 1) for n in range(3)) + "," + _ROUND.format(n=3)) + """
+SELECT vec_id, CAST(best.j AS INTEGER) AS cluster, CAST(best.d AS BIGINT) AS distance,
+       CAST(sum(best.d) OVER (PARTITION BY best.j) AS BIGINT) AS cluster_inertia, CAST(sum(best.d) OVER () AS BIGINT) AS inertia,
+       sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM near3 JOIN kept USING (rid) JOIN center3 ON center3.j = best.j"""
+
 ORACLE: dict[str, str] = {
     "op2_decontamination": DECONTAMINATION,
     "op4_near_duplicates": NEAR_DUPLICATES,
     "op8_licenses": LICENSES,
+    "op12_clustering": CLUSTERING,
 }
