@@ -88,14 +88,17 @@ def new_updates(outcomes: DataFrame) -> DataFrame:
 
 
 def new_commands(outcomes: DataFrame) -> DataFrame:
+    """Accepted commands, with the sender and the receiving connections if these are known."""
+    senders = [c for c in ("sender_key", "n_sent") if c in outcomes.columns]
     return outcomes.where(F.col("outcome") == "command").select(
-        "msg_id", "target_id", "target_text", "sensor_type", "value", "payload_value", "sender_key")
+        "msg_id", "target_id", "target_text", "sensor_type", "value", "payload_value", *senders)
 
 
-def replies(outcomes: DataFrame, connections: DataFrame, as_of: datetime) -> DataFrame:
+def replies(outcomes: DataFrame, connections: DataFrame | None = None, as_of: datetime | None = None) -> DataFrame:
     """Everything sent back to senders: data acks, command acks and errors, in one pass.
 
-    Malformed, invalid device and unauthenticated messages get no reply.
+    Malformed, invalid device and unauthenticated messages get no reply. ``connections`` and ``as_of`` as in
+    ``routing.with_instances``: without them each command is judged by the connections open at its own time.
     """
     outcome = F.col("outcome")
     data, command = outcome == "data", outcome == "command"

@@ -197,12 +197,15 @@ def device_instances(connections: DataFrame, as_of: datetime) -> DataFrame:
 OFFLINE_NOTE = "Nilai disimpan (device offline)"
 
 
-def with_instances(commands: DataFrame, connections: DataFrame, as_of: datetime) -> DataFrame:
+def with_instances(commands: DataFrame, connections: DataFrame | None = None, as_of: datetime | None = None) -> DataFrame:
     """Add ``n_sent``, the target's open connections, not counting the sender's own.
 
-    ``commands`` holds msg_id, target_id and sender_key (NULL from a dashboard). Connections are counted
-    per device before the join.
+    Without ``as_of`` the commands hold it already, as of each one's own time (``presence.with_senders``). With it,
+    all are judged by the connections open at that one time: ``commands`` holds msg_id, target_id and sender_key
+    (NULL from a dashboard), and connections are counted per device before the join.
     """
+    if as_of is None:
+        return commands
     instances = device_instances(connections, as_of).withColumnRenamed("device_id", "target_id")
     senders = (connections.where((F.col("conn_type") == "device") & is_authenticated(connections, as_of)
                                  & is_open(connections, as_of))
@@ -219,11 +222,11 @@ def ack_value(online: Column) -> Column:
     return F.when(online, F.coalesce("value", F.lit("null"))).otherwise(F.col("value"))
 
 
-def command_acks(commands: DataFrame, connections: DataFrame, as_of: datetime) -> DataFrame:
+def command_acks(commands: DataFrame, connections: DataFrame | None = None, as_of: datetime | None = None) -> DataFrame:
     """Reply to every command and the number of device connections it was sent to.
 
     ``commands`` also holds target_text, sensor_type and value. A device without an open connection
-    gets the offline note.
+    gets the offline note. For ``connections`` and ``as_of`` see :func:`with_instances`.
     """
     online = F.col("n_sent") > 0
     return with_instances(commands, connections, as_of).select(

@@ -38,10 +38,12 @@ widgets AS (
 connections AS (
   SELECT o_orderkey AS conn_key,
          CASE o_orderkey % 4 WHEN 0 THEN 'dashboard' WHEN 3 THEN 'public' ELSE 'device' END AS conn_type,
-         device_id, user_id, public_slug AS slug, o_orderdate AS opened_at,
-         CASE WHEN o_orderstatus <> 'P' THEN o_orderdate + to_seconds(o_orderkey % 30) END AS auth_at,
-         CASE WHEN o_orderstatus = 'F' THEN o_orderdate + INTERVAL 1 HOUR END AS closed_at
-  FROM orders JOIN devices ON o_custkey = device_id),
+         device_id, user_id, public_slug AS slug, opened_at,
+         CASE WHEN o_orderstatus <> 'P' THEN opened_at + to_seconds(o_orderkey % 30) END AS auth_at,
+         CASE WHEN o_orderstatus = 'F' THEN opened_at + INTERVAL 1 HOUR END AS closed_at
+  FROM (SELECT *, TIMESTAMP '2024-01-01' + to_seconds(
+          date_diff('day', DATE '1992-01-01', o_orderdate::DATE) % 30 * 86400 + o_orderkey * 7919 % 86400) AS opened_at FROM orders)
+  JOIN devices ON o_custkey = device_id),
 messages AS (
   SELECT event_id AS msg_id, ts,
          CASE WHEN event_id % 41 = 0 THEN 'no-such-key' ELSE md5('s' || user_id::VARCHAR) END AS secret_key,
@@ -109,30 +111,36 @@ fields AS (
     CASE WHEN vtype = 'NULL' THEN NULL WHEN vtype = 'DOUBLE' THEN regexp_replace(vtext, '\.0$', '') ELSE vtext END AS value,
     target, typed OR target IS NOT NULL AS is_command
   FROM extracted),
+live AS (
+  SELECT conn_key, device_id, greatest(opened_at, auth_at) AS since, closed_at AS until FROM connections
+  WHERE conn_type = 'device' AND auth_at IS NOT NULL AND (closed_at IS NULL OR closed_at > greatest(opened_at, auth_at))),
+-- The connection of the device that started last before the message, if it is still open.
+senders AS (
+  SELECT msg_id, CASE WHEN until IS NULL OR until > ts THEN conn_key END AS sender_key FROM (
+    SELECT f.msg_id, f.ts, l.conn_key, l.until,
+      row_number() OVER (PARTITION BY f.msg_id ORDER BY l.since DESC, l.conn_key DESC) AS n
+    FROM fields f JOIN registry r ON f.secret_key = r.secret_key JOIN live l ON l.device_id = r.device_id AND l.since <= f.ts)
+  WHERE n = 1),
 from_device AS (
-  SELECT f.*, r.device_id AS auth_id, r.device_name, r.user_id, n.conn_key AS sender_key,
+  SELECT f.*, r.device_id AS auth_id, r.device_name, r.user_id, s.sender_key,
     coalesce(f.target, CAST(r.device_id AS VARCHAR)) AS target_text,
     CASE WHEN r.device_id IS NULL THEN 'unauthenticated' WHEN NOT is_json THEN 'malformed'
          WHEN NOT name_ok OR NOT value_present THEN 'invalid'
          WHEN is_command AND coalesce(f.target, CAST(r.device_id AS VARCHAR)) <> CAST(r.device_id AS VARCHAR)
            THEN 'cross_device'
          WHEN is_command THEN 'command' ELSE 'data' END AS outcome
-  FROM fields f LEFT JOIN registry r ON f.secret_key = r.secret_key
-  LEFT JOIN newest n ON n.device_id = r.device_id),
+  FROM fields f LEFT JOIN registry r ON f.secret_key = r.secret_key LEFT JOIN senders s USING (msg_id)),
 from_dashboard AS (
   SELECT f.*, r.user_id, CAST(NULL AS BIGINT) AS sender_key, f.target AS target_text,
     CASE WHEN NOT is_json THEN 'malformed'
          WHEN f.target IS NULL OR f.target = '0' OR NOT name_ok OR NOT value_present THEN 'invalid'
          ELSE 'command' END AS outcome
   FROM fields f JOIN registry r ON f.secret_key = r.secret_key),
-instances AS (
-  SELECT conn_key, device_id FROM connections, clock
-  WHERE conn_type = 'device' AND auth_at <= as_of AND opened_at <= as_of AND (closed_at IS NULL OR closed_at > as_of)),
 commands AS (
-  SELECT 'device' AS origin, msg_id, target_text, sensor_type, value, sender_key
+  SELECT 'device' AS origin, msg_id, ts, target_text, sensor_type, value, sender_key
   FROM from_device WHERE outcome = 'command'
   UNION ALL
-  SELECT 'dashboard', msg_id, target_text, sensor_type, value, sender_key
+  SELECT 'dashboard', msg_id, ts, target_text, sensor_type, value, sender_key
   FROM from_dashboard WHERE outcome = 'command'),
 acks AS (
   SELECT origin, msg_id, TRY_CAST(target_text AS BIGINT) AS target_id, 'ack' AS status, target_text AS device_id,
@@ -140,8 +148,9 @@ acks AS (
     CASE WHEN count(i.conn_key) > 0 THEN coalesce(value, 'null') ELSE value END AS val,
     CASE WHEN count(i.conn_key) = 0 THEN 'Nilai disimpan (device offline)' END AS message,
     count(i.conn_key) AS n_sent
-  FROM commands c LEFT JOIN instances i
+  FROM commands c LEFT JOIN live i
     ON i.device_id = TRY_CAST(target_text AS BIGINT) AND (c.sender_key IS NULL OR i.conn_key <> c.sender_key)
+    AND i.since <= c.ts AND (i.until IS NULL OR i.until > c.ts)
   GROUP BY origin, msg_id, target_text, sensor_type, value)
 """
 

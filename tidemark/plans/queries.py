@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.functions import payload, scalars
-from tidemark.operators import (bundle, changes, connections as conns, display, history, ingest, routing, series,
-                                state)
+from tidemark.operators import (bundle, changes, connections as conns, display, history, ingest, presence, routing,
+                                series, state)
 from tidemark.session import new_path, stored
 from tidemark.sources import tables
 from tidemark.sources.testdata import TestTables
@@ -36,16 +36,19 @@ def updates(t: TestTables) -> DataFrame:
 
 
 def device_messages(t: TestTables) -> DataFrame:
-    """Messages on device connections with their sender's connection, decided."""
-    senders = stored(jobs.device_senders(t.devices, t.connections), "senders")
-    return jobs.decided(t.messages, t.devices, t.connections, "device", senders)
+    """Messages on device connections, decided."""
+    return jobs.decisions(t.messages, t.devices, "device")
 
 
 def dashboard_messages(t: TestTables) -> DataFrame:
     """The same messages as typed by the device owners on their dashboards."""
     owned = ingest.authenticate(payload.with_fields(t.messages).drop("raw"), tables.registry(t.devices)).where("accepted")
-    return ingest.dashboard_outcomes(owned.withColumn("conn_type", F.lit("dashboard"))
-                                     .withColumn("sender_key", F.lit(None).cast("long")))
+    return ingest.dashboard_outcomes(owned.withColumn("conn_type", F.lit("dashboard")))
+
+
+def steps(t: TestTables) -> DataFrame:
+    """Who is connected while the messages arrive."""
+    return presence.stored_steps(t.connections, *presence.time_span(t.messages))
 
 
 def live_widgets(t: TestTables) -> DataFrame:
@@ -237,7 +240,7 @@ def M5_auto_routed(t):
 
 @query
 def M6_frame_class(t):
-    answers = ingest.reply_frames(ingest.replies(device_messages(t), t.connections, now(t)))
+    answers = ingest.reply_frames(ingest.replies(presence.with_senders(device_messages(t), steps(t))))
     frames = (answers.select(F.lit("reply").alias("origin"), "msg_id", "frame")
               .unionByName(t.messages.select(F.lit("device").alias("origin"), "msg_id",
                                              F.col("raw").alias("frame"))))
@@ -276,21 +279,20 @@ def T2_dashboard_commands(t):
 
 @query
 def T3_controller_commands(t):
-    commands = ingest.new_commands(device_messages(t))
-    return routing.command_acks(commands, t.connections, now(t))
+    return routing.command_acks(ingest.new_commands(presence.with_senders(device_messages(t), steps(t))))
 
 
 @query
 def J11_command_acks(t):
-    commands = ingest.new_commands(dashboard_messages(t))
-    return routing.command_acks(commands, t.connections, now(t))
+    commands = dashboard_messages(t).where("outcome = 'command'")
+    return routing.command_acks(ingest.new_commands(presence.with_senders(commands, steps(t))))
 
 
 @query
 def T8_replies(t):
-    device = ingest.replies(device_messages(t), t.connections, now(t)).withColumn("origin", F.lit("device"))
-    dashboard = (ingest.replies(dashboard_messages(t), t.connections, now(t))
-                 .withColumn("origin", F.lit("dashboard")))
+    known = steps(t)
+    device, dashboard = (ingest.replies(presence.with_senders(messages, known)).withColumn("origin", F.lit(origin))
+                         for origin, messages in (("device", device_messages(t)), ("dashboard", dashboard_messages(t))))
     return device.unionByName(dashboard).drop("payload_value")
 
 

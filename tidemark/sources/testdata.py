@@ -91,7 +91,10 @@ class TestTables:
 
     @cached_property
     def connections(self) -> DataFrame:
-        key, day = F.col("o_orderkey"), F.col("o_orderdate")
+        """Connections within the time of the messages; a device may have several at once and none at times."""
+        key = F.col("o_orderkey")
+        after = F.datediff(F.col("o_orderdate").cast("date"), F.to_date(F.lit("1992-01-01"))) % 30 * 86400 + key * 7919 % 86400
+        day = F.expr("TIMESTAMP_NTZ '2024-01-01 00:00:00'") + seconds(after)
         return (self.raw("orders")
                 .join(self.devices, F.col("o_custkey") == F.col("device_id"))
                 .select(key.alias("conn_key"),

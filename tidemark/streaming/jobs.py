@@ -12,7 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.storagelevel import StorageLevel
 
 from tidemark.functions.payload import with_fields
-from tidemark.operators import connections as conns, history, ingest, routing, series, state
+from tidemark.operators import connections as conns, history, ingest, presence, routing, series, state
 from tidemark.sources import tables
 from tidemark.streaming.log import BatchTable
 
@@ -84,30 +84,30 @@ class IngestStore:
         self.points.compact(lambda rows: series.last_points(rows, self.kept_points))
 
 
-def device_senders(devices: DataFrame, connections: DataFrame) -> DataFrame:
-    """The key registry with each device's newest connection."""
-    newest = conns.newest_connections(connections).select("device_id", F.col("conn_key").alias("sender_key"))
-    return tables.registry(devices).join(newest, "device_id", "left")
+def decisions(batch: DataFrame, devices: DataFrame, conn_type: str) -> DataFrame:
+    """Outcomes of messages of one kind of connection, which do not depend on who is connected.
 
-
-def decided(batch: DataFrame, devices: DataFrame, connections: DataFrame, conn_type: str,
-            senders: DataFrame | None = None) -> DataFrame:
-    """Outcomes of a batch of messages of one kind of connection.
-
-    Device messages carry secret_key, dashboard messages user_id. A conn_key column names the sender's
-    connection; without it the newest connection of the device stands in. ``senders`` may hold stored
-    rows of :func:`device_senders`, whose real size then decides how the messages are joined.
+    Device messages carry secret_key, dashboard messages user_id. A conn_key column names a device's connection.
     """
     fields = with_fields(batch).drop("raw").withColumn("conn_type", F.lit(conn_type))
     if conn_type == "dashboard":
-        return ingest.dashboard_outcomes(fields.withColumn("sender_key", F.lit(None).cast("long")))
+        return ingest.dashboard_outcomes(fields)
     if "conn_key" in batch.columns:
-        known = ingest.authenticate(fields.withColumnRenamed("conn_key", "sender_key"), tables.registry(devices))
-    else:
-        if senders is None:
-            senders = device_senders(devices, connections)
-        known = ingest.authenticate(fields, senders)
-    return ingest.device_outcomes(known)
+        fields = fields.withColumnRenamed("conn_key", "sender_key")
+    return ingest.device_outcomes(ingest.authenticate(fields, tables.registry(devices)))
+
+
+def decided(batch: DataFrame, devices: DataFrame, connections: DataFrame, conn_type: str,
+            steps: DataFrame | None = None) -> DataFrame:
+    """Outcomes with the sender's connection and the number of other open connections of the target.
+
+    Both are as of each message's own time, so they do not depend on how messages are cut into batches. ``steps`` may
+    hold rows of ``presence.stored_steps`` that cover the messages.
+    """
+    outcomes = decisions(batch, devices, conn_type)
+    if steps is None:
+        steps = presence.stored_steps(connections, *presence.time_span(batch))
+    return presence.with_senders(outcomes, steps, connections)
 
 
 def write_all(batch_id: int, tables_rows: dict[BatchTable, DataFrame], source: str | None = None) -> None:
@@ -127,14 +127,17 @@ def ingest_batch(store: IngestStore, dimensions: Callable[[], tuple[DataFrame, D
     """
     def each_batch(batch: DataFrame, batch_id: int) -> None:
         devices, connections = dimensions()
-        outcomes = decided(batch, devices, connections, conn_type).persist(StorageLevel.MEMORY_AND_DISK)
+        outcomes = decisions(batch, devices, conn_type).persist(StorageLevel.MEMORY_AND_DISK)
+        steps = None
         try:
-            as_of = history.latest_time(outcomes)  # fills the cache, so the source is read once
-            if as_of is None:
+            first, last = presence.time_span(outcomes)  # fills the cache, so the source is read once
+            if first is None:
                 return
+            steps = presence.presence_steps(connections, first, last).persist(StorageLevel.MEMORY_AND_DISK)
+            placed = presence.with_senders(outcomes, steps, connections)
             readings = ingest.new_readings(outcomes)
-            owned = routing.with_owner(ingest.new_updates(outcomes), devices)
-            answers = ingest.replies(outcomes, connections, as_of)
+            owned = routing.with_owner(ingest.new_updates(placed), devices)
+            answers = ingest.replies(placed)
             write_all(batch_id, {
                 store.readings: readings.withColumn("day", F.to_date("ts")),
                 store.latest: state.current_values(ingest.new_values(outcomes)),
@@ -144,6 +147,8 @@ def ingest_batch(store: IngestStore, dimensions: Callable[[], tuple[DataFrame, D
                 store.outbox: routing.outbox(owned)}, conn_type)
         finally:
             outcomes.unpersist()
+            if steps is not None:
+                steps.unpersist()
     return each_batch
 
 
