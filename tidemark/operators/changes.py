@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from collections.abc import Iterator
+from functools import reduce
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.functions.scalars import default_value, page_url, valid_slug
 from tidemark.operators.joins import lookup
@@ -10,6 +14,7 @@ from tidemark.operators.numbering import number_rows
 from tidemark.session import stored
 
 MIN_PASSWORD = 6  # Fixed value: shortest accepted password.
+LOCAL_ROWS = 10_000  # requests left after a round that one task may decide in order
 
 
 def empty(column: str) -> Column:
@@ -31,17 +36,23 @@ def duplicate_keys(rows: DataFrame, existing: DataFrame, columns: list[str]) ->
     return counts.where((F.col("n_new") > 1) | ((F.col("n_new") > 0) & (F.col("n_existing") > 0)))
 
 
-def first_come(requests: DataFrame, keys: list[str], order: str) -> DataFrame:
+def first_come(requests: DataFrame, keys: list[str], order: str, local_rows: int = LOCAL_ROWS,
+               plain_rounds: int = 2) -> DataFrame:
     """Requests that succeed when taken one by one in ``order``, each needing all its keys unused.
 
     A refused request does not use its keys up, so the outcome is not simply the first per key. Each
     round accepts every request that is first among the undecided for all its keys, then refuses those
-    that share a key with an accepted one; the outcome equals the one-by-one order. Rounds follow the
-    longest chain of conflicts, not the number of rows. Every round is written to the shared folder.
+    that share a key with an accepted one; the outcome equals the one-by-one order. After ``plain_rounds`` rounds also
+    chains are followed (:func:`chain_winners`), so a chain of n conflicts takes about log n steps. At most ``local_rows``
+    requests left after a round are decided by one task, in order. Every round is written to the shared folder.
     """
     undecided = stored(requests.select(order, *keys), "undecided")
-    accepted = []
-    while not undecided.isEmpty():
+    accepted, rounds = [], 0
+    while left := undecided.count():
+        if rounds and left <= local_rows:
+            accepted.append(stored(taken_in_order(undecided, keys, order), "accepted"))
+            break
+        rounds += 1
         # The first request of every value of each key; only one row per value goes on.
         firsts = [undecided.groupBy(key).agg(F.min(F.struct(order, *keys)).alias("_first")).select("_first.*")
                   for key in keys]
@@ -49,10 +60,12 @@ def first_come(requests: DataFrame, keys: list[str], order: str) -> DataFrame:
         for more in firsts[1:]:
             leaders = leaders.join(more.select(order), order, "left_semi")
         winners = stored(leaders.select(order, *keys), "accepted")
+        if rounds > plain_rounds:
+            winners = stored(winners.unionByName(chain_winners(undecided, winners, keys, order)), "accepted")
         accepted.append(winners)
         rest = undecided
         for key in keys:
-            rest = rest.join(winners.select(key), key, "left_anti")
+            rest = rest.join(winners.select(key).distinct(), key, "left_anti")
         undecided = stored(rest.select(order, *keys), "undecided")
     result = accepted[0] if accepted else undecided
     for more in accepted[1:]:
@@ -60,6 +73,53 @@ def first_come(requests: DataFrame, keys: list[str], order: str) -> DataFrame:
     return result.select(order)
 
 
+def chain_winners(undecided: DataFrame, leaders: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """Requests that succeed because of a chain that ends at a leader.
+
+    A request that shares keys with exactly one earlier undecided request succeeds if and only if that one fails. Such
+    requests point to the one they depend on; pointers are doubled, and an even number of steps to a leader means success.
+    """
+    pairs = None
+    for key in keys:
+        group = Window.partitionBy(key).orderBy(order)
+        two = undecided.select(order, key).withColumn("_rank", F.row_number().over(group)).where(F.col("_rank") <= 2)
+        before = two.select(order, F.lag(order).over(group).alias(f"_{key}"))  # null for the first
+        pairs = before if pairs is None else pairs.join(before, order)
+    before = F.array_distinct(F.array_compact(F.array(*[f"_{key}" for key in keys])))
+    steps = stored(pairs.select(order, before.alias("_before")).where(F.size("_before") == 1)
+                   .select(F.col(order).alias("_id"), F.col("_before")[0].alias("_to"), F.lit(1).alias("_odd")), "chains")
+    while True:
+        onward = steps.select(F.col("_id").alias("_to"), F.col("_to").alias("_next"), F.col("_odd").alias("_more"))
+        doubled = stored(steps.join(onward, "_to", "left").select(
+            "_id", F.coalesce("_next", "_to").alias("_to"), ((F.col("_odd") + F.coalesce("_more", F.lit(0))) % 2).alias("_odd"),
+            F.col("_next").isNotNull().alias("_moved")), "chains")
+        steps = doubled.drop("_moved")
+        if doubled.where("_moved").isEmpty():
+            break
+    ends = leaders.select(F.col(order).alias("_to"))
+    winners = steps.where("_odd = 0").join(ends, "_to", "left_semi").select(F.col("_id").alias(order))
+    return undecided.join(winners, order, "left_semi").select(order, *keys)
+
+
+def taken_in_order(undecided: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """The same for a bounded number of requests, in one task."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        used: list[set] = [set() for _ in keys]
+        for batch in batches:
+            columns = [batch.column(i + 1).to_pylist() for i in range(len(keys))]
+            won = []
+            for values in zip(*columns):
+                free = all(v not in seen for v, seen in zip(values, used))
+                won.append(free)
+                if free:
+                    for v, seen in zip(values, used):
+                        seen.add(v)
+            yield batch.filter(pa.array(won))
+
+    rows = undecided.select(order, *keys)
+    return rows.repartition(1).sortWithinPartitions(order).mapInArrow(run, rows.schema)
+
+
 def registration_results(requests: DataFrame, users: DataFrame) -> DataFrame:
     """Outcome of registrations in order of request_id.
 
@@ -119,26 +179,135 @@ def insert_widgets(results: DataFrame, last_id: int) -> DataFrame:
         default_value(F.col("widget_type")).alias("current_value"))
 
 
+BEFORE = -(1 << 62)  # time of what was held before the first request
+SLUG_SLICES = 64
+
+
+def holder_plans(moves: DataFrame, undecided: DataFrame, low: int, width: int) -> DataFrame:
+    """What each holder does after a move: ``leaves``, its next move, and ``may_leave``, its next undecided request that could be one.
+
+    A request for the slug the device asked for just before cannot make it leave. Rows of a device are cut
+    into slices of the request order, so that no task orders all requests of a busy device; what follows in later
+    slices comes from one row per device and slice. At the border of a slice a repeated request counts as one that
+    could leave, which only delays a decision.
+    """
+    rows = (moves.select("device_id", "at", "custom_slug", F.lit(True).alias("done"))
+            .unionByName(undecided.select("device_id", F.col("request_id").alias("at"), "custom_slug", F.lit(False).alias("done")))
+            .withColumn("slice", F.greatest(F.floor((F.col("at") - low) / width), F.lit(-1))))
+    inside = Window.partitionBy("device_id", "slice")
+    repeated = F.coalesce(F.lag("custom_slug").over(inside.orderBy("at")) == F.col("custom_slug"), F.lit(False))
+    rows = rows.withColumns({"_move": F.when(F.col("done"), F.col("at")),
+                             "_open": F.when(~F.col("done") & ~repeated, F.col("at"))})
+    after = inside.orderBy(F.desc("at")).rowsBetween(Window.unboundedPreceding, -1)
+    later = Window.partitionBy("device_id").orderBy(F.desc("slice")).rowsBetween(Window.unboundedPreceding, -1)
+    follow = (rows.groupBy("device_id", "slice").agg(F.min("_move").alias("_move"), F.min("_open").alias("_open"))
+              .select("device_id", "slice", F.min("_move").over(later).alias("_later_move"),
+                      F.min("_open").over(later).alias("_later_open")))
+    return (rows.withColumns({"_next_move": F.min("_move").over(after), "_next_open": F.min("_open").over(after)})
+            .where("done").join(follow, ["device_id", "slice"])
+            .select("device_id", "at", F.coalesce("_next_move", "_later_move").alias("leaves"),
+                    F.coalesce("_next_open", "_later_open").alias("may_leave")))
+
+
+def slug_decisions(requests: DataFrame, holders: DataFrame, slices: int = SLUG_SLICES,
+                   local_rows: int = LOCAL_ROWS) -> DataFrame:
+    """(request_id, won) of requests for a slug by owned devices, as if taken one by one in order of request_id.
+
+    ``requests`` holds request_id, device_id and custom_slug, ``holders`` custom_slug and device_id. A request wins if
+    no other device holds the slug at that moment; the device gives up the slug it had. In a round every slug looks at its
+    last known holder: requests before the moment the holder leaves, or could leave, are decided at once, and if it
+    surely leaves, the first request after that moment wins. The earliest undecided request is always decided, and
+    rounds follow the longest chain of handovers, not the number of requests. If at most ``local_rows`` requests and moves
+    that bear on them are left after a round, one task decides them in order. Each round is written to the shared folder.
+    """
+    undecided = stored(requests.select("request_id", "device_id", "custom_slug"), "slugs-undecided")
+    low, high = undecided.agg(F.min("request_id"), F.max("request_id")).first()
+    width = max(1, -(-(high - low + 1) // slices)) if low is not None else 1
+    wanted = undecided.select("custom_slug").distinct()
+    # Devices that ask or hold a wanted slug; others change nothing.
+    moves = stored(holders.select("device_id", "custom_slug", F.lit(BEFORE).alias("at"))
+                   .join(undecided.select("device_id").distinct().withColumn("_asks", F.lit(True)), "device_id", "left")
+                   .join(wanted.withColumn("_wanted", F.lit(True)), "custom_slug", "left")
+                   .where("_asks or _wanted").select("device_id", "custom_slug", "at"), "slugs-held")
+    answers = []
+    while left := undecided.count():
+        if answers:
+            near = nearby_moves(moves, undecided)
+            if left <= local_rows and near.limit(local_rows + 1).count() <= local_rows:
+                answers.append(stored(slugs_in_order(undecided, near), "slugs-decided"))
+                break
+        last = (moves.join(undecided.select("custom_slug").distinct(), "custom_slug", "left_semi").groupBy("custom_slug")
+                .agg(F.max(F.struct("at", "device_id")).alias("_last")).select("custom_slug", "_last.at", "_last.device_id"))
+        holding = last.select("device_id").distinct()
+        plans = holder_plans(moves.join(holding, "device_id", "left_semi"),
+                             undecided.join(holding, "device_id", "left_semi"), low, width)
+        facts = last.join(plans, ["device_id", "at"]).select(
+            "custom_slug", F.col("device_id").alias("holder"), "leaves", "may_leave")
+        known = stored(lookup(undecided, facts, "custom_slug", "request_id"), "slugs-known")
+        at, leaves, may = F.col("request_id"), F.col("leaves"), F.col("may_leave")
+        held, own = F.col("holder").isNotNull(), F.col("device_id") == F.col("holder")
+        before = (leaves.isNull() | (at < leaves)) & (may.isNull() | (at < may) | ((at == may) & own))
+        left_for_sure = leaves.isNotNull() & (may.isNull() | (leaves < may)) & (at > leaves)
+        settled = known.where(held & before).select("request_id", "device_id", "custom_slug", own.alias("won"), F.lit(False).alias("moves"))
+        firsts = known.where(~held | left_for_sure).groupBy("custom_slug").agg(
+            F.min(F.struct("request_id", "device_id")).alias("_first")).select(
+            "_first.request_id", "_first.device_id", "custom_slug", F.lit(True).alias("won"), F.lit(True).alias("moves"))
+        decided = stored(settled.unionByName(firsts), "slugs-decided")
+        answers.append(decided)
+        moves = moves.unionByName(decided.where("moves").select("device_id", "custom_slug", F.col("request_id").alias("at")))
+        if len(answers) % 8 == 0:
+            moves = stored(moves, "slugs-held")
+        undecided = stored(undecided.join(decided, "request_id", "left_anti"), "slugs-undecided")
+    if not answers:
+        return undecided.select("request_id", F.lit(True).alias("won"))
+    return reduce(DataFrame.unionByName, [a.select("request_id", "won") for a in answers])
+
+
+def nearby_moves(moves: DataFrame, undecided: DataFrame) -> DataFrame:
+    """Moves that may bear on the undecided requests: of their devices and of devices that ever held their slugs."""
+    holders = moves.join(undecided.select("custom_slug").distinct(), "custom_slug", "left_semi").select("device_id")
+    return moves.join(holders.unionByName(undecided.select("device_id")).distinct(), "device_id", "left_semi")
+
+
+def slugs_in_order(undecided: DataFrame, moves: DataFrame) -> DataFrame:
+    """(request_id, won) of a bounded number of requests among known moves, in one task."""
+    rows = (undecided.select(F.col("request_id").alias("at"), "device_id", "custom_slug", F.lit(False).alias("known"))
+            .unionByName(moves.select("at", "device_id", "custom_slug", F.lit(True).alias("known"))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        holder: dict = {}
+        own: dict = {}
+        for batch in batches:
+            ids, won = [], []
+            for at, device, slug, known in zip(*(c.to_pylist() for c in batch.columns)):
+                free = known or holder.get(slug, device) == device
+                if free:
+                    old = own.get(device)
+                    if old is not None and holder.get(old) == device:
+                        del holder[old]
+                    holder[slug], own[device] = device, slug
+                if not known:
+                    ids.append(at)
+                    won.append(free)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(won, pa.bool_())], names=["request_id", "won"])
+
+    return rows.repartition(1).sortWithinPartitions("at").mapInArrow(run, "request_id long, won boolean")
+
+
 def slug_results(requests: DataFrame, devices: DataFrame) -> DataFrame:
     """Outcome of slug requests: 400 malformed, 409 in use by another device, else 200 with the URL.
 
-    All requests of a call see the slugs held before it; among them the first owner to ask for a free
-    slug gets it. A request that matches no owned device still succeeds and changes nothing, in which
-    case ``applies`` is false.
+    Requests are taken in order of request_id, and each sees the slugs held at that moment. A request that matches no owned
+    device still succeeds and changes nothing, in which case ``applies`` is false.
     """
     checked = requests.withColumn("_valid", valid_slug(F.col("custom_slug")))
-    holders = (devices.where(F.col("public_slug").isNotNull())
-               .select(F.col("public_slug").alias("custom_slug"), F.col("device_id").alias("_holder")))
+    holders = devices.where(F.col("public_slug").isNotNull()).select("device_id", F.col("public_slug").alias("custom_slug"))
     owned = devices.select("device_id", "user_id").withColumn("_owned", F.lit(True))
-    known = (lookup(lookup(checked, owned, ["device_id", "user_id"], "request_id"), holders, "custom_slug", "request_id")
+    known = (lookup(checked, owned, ["device_id", "user_id"], "request_id")
              .withColumn("_owned", F.coalesce("_owned", F.lit(False))))
-    claim = F.col("_valid") & F.col("_owned") & F.col("_holder").isNull()
-    claims = (known.where(claim).groupBy("custom_slug")
-              .agg(F.min_by("device_id", "request_id").alias("_first")))
-    by = F.coalesce("_holder", "_first")
-    conflict = F.col("_owned") & by.isNotNull() & (by != F.col("device_id"))
-    status = F.when(~F.col("_valid"), 400).when(conflict, 409).otherwise(200)
-    return (lookup(known, claims, "custom_slug", "request_id").withColumn("status", status)
+    decisions = slug_decisions(known.where(F.col("_valid") & F.col("_owned")), holders)
+    status = F.when(~F.col("_valid"), 400).when(F.col("_owned") & ~F.coalesce("won", F.lit(False)), 409).otherwise(200)
+    return (known.join(decisions, "request_id", "left").withColumn("status", status)
             .select("request_id", "device_id", "user_id", "custom_slug", "status",
                     ((F.col("status") == 200) & F.col("_owned")).alias("applies"),
                     F.when(F.col("status") == 200, page_url(F.col("custom_slug"))).alias("url")))

@@ -195,21 +195,6 @@ slug_requests AS (
          WHEN 1 THEN 'page_' || CAST(floor(o_totalprice / 100) AS BIGINT)::VARCHAR
          WHEN 2 THEN 'bad slug' WHEN 3 THEN '' WHEN 4 THEN NULL ELSE 'ok-' || o_orderkey::VARCHAR END AS custom_slug
   FROM owned_requests),
-slug_known AS (
-  SELECT r.*, coalesce(regexp_full_match(r.custom_slug, '[a-zA-Z0-9_-]+'), FALSE) AS valid,
-    d.device_id IS NOT NULL AS owned, h.device_id AS holder
-  FROM slug_requests r LEFT JOIN devices d ON r.device_id = d.device_id AND r.user_id = d.user_id
-  LEFT JOIN devices h ON h.public_slug = r.custom_slug),
-slug_claimed AS (
-  SELECT *, coalesce(holder, first_value(CASE WHEN valid AND owned AND holder IS NULL THEN device_id END IGNORE NULLS)
-    OVER (PARTITION BY custom_slug ORDER BY request_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS by_device
-  FROM slug_known),
-slug_results AS (
-  SELECT request_id, device_id, user_id, custom_slug, status, status = 200 AND owned AS applies,
-    CASE WHEN status = 200 THEN '/' || custom_slug END AS url
-  FROM (SELECT *, CAST(CASE WHEN NOT valid THEN 400
-                       WHEN owned AND by_device IS NOT NULL AND by_device <> device_id THEN 409 ELSE 200 END
-                  AS BIGINT) AS status FROM slug_claimed)),
 delete_requests AS (
   SELECT o_orderkey AS request_id, o_custkey AS device_id,
     CASE WHEN o_orderpriority = '1-URGENT' THEN user_id ELSE (user_id + 2) % 25 END AS user_id
@@ -227,12 +212,43 @@ handshakes AS (
     AND secret_key = md5('s' || o_custkey::VARCHAR))
 """
 
+# Slug requests taken one by one: a table by key of who holds which slug, which slug a device has, and who won.
+SLUGS = r"""
+slug_asks AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY request_id) AS n, request_id, r.device_id, custom_slug
+  FROM slug_requests r JOIN devices d ON r.device_id = d.device_id AND r.user_id = d.user_id
+  WHERE regexp_full_match(custom_slug, '[a-zA-Z0-9_-]+')),
+taken(key, id, slug) USING KEY (key) AS (
+  SELECT 'slug ' || public_slug, device_id, NULL::VARCHAR FROM devices WHERE public_slug IS NOT NULL
+  UNION SELECT 'own ' || device_id::VARCHAR, NULL, public_slug FROM devices WHERE public_slug IS NOT NULL
+  UNION SELECT 'last', 0, NULL
+  UNION (
+    WITH ask AS (
+      SELECT a.*, h.id AS holder, o.slug AS old FROM slug_asks a JOIN taken t ON t.key = 'last' AND a.n = t.id + 1
+      LEFT JOIN recurring.taken h ON h.key = 'slug ' || a.custom_slug
+      LEFT JOIN recurring.taken o ON o.key = 'own ' || a.device_id::VARCHAR),
+    won AS (SELECT * FROM ask WHERE holder IS NULL OR holder = device_id)
+    SELECT 'last', n, NULL FROM ask
+    UNION ALL SELECT 'won ' || request_id::VARCHAR, request_id, NULL FROM won
+    UNION ALL SELECT 'slug ' || old, NULL, NULL FROM won WHERE old <> custom_slug
+    UNION ALL SELECT 'slug ' || custom_slug, device_id, NULL FROM won
+    UNION ALL SELECT 'own ' || device_id::VARCHAR, NULL, custom_slug FROM won)),
+slug_results AS MATERIALIZED (
+  SELECT request_id, device_id, user_id, custom_slug, status, status = 200 AND owned AS applies,
+    CASE WHEN status = 200 THEN '/' || custom_slug END AS url
+  FROM (SELECT r.*, d.device_id IS NOT NULL AS owned, CAST(
+          CASE WHEN NOT coalesce(regexp_full_match(r.custom_slug, '[a-zA-Z0-9_-]+'), FALSE) THEN 400
+               WHEN d.device_id IS NOT NULL AND w.id IS NULL THEN 409 ELSE 200 END AS BIGINT) AS status
+        FROM slug_requests r LEFT JOIN devices d ON r.device_id = d.device_id AND r.user_id = d.user_id
+        LEFT JOIN (SELECT id FROM taken WHERE starts_with(key, 'won ')) w ON w.id = r.request_id))
+"""
+
 ORACLE: dict[str, str] = {}
 
 
-def add(name: str, sql: str) -> None:
-    """Register a query; the shared tables are put in front of it."""
-    ORACLE[name] = f"WITH {TABLES}, {MESSAGES}, {REQUESTS}\n{sql.strip()}"
+def add(name: str, sql: str, more: str = "") -> None:
+    """Register a query; the shared tables, and ``more``, are put in front of it."""
+    ORACLE[name] = f"WITH {'RECURSIVE ' if more else ''}{TABLES}, {MESSAGES}, {REQUESTS}{', ' if more else ''}{more}\n{sql.strip()}"
 
 
 J1 = """SELECT user_id, device_id, device_name, sensor_type, value, ts, data_id
@@ -486,11 +502,11 @@ add("K3_inserted_widgets", """
 SELECT 1000000 + row_number() OVER (ORDER BY request_id) AS widget_id, user_id, device_id, sensor_type, widget_type,
   data_type, CASE widget_type WHEN 'toggle' THEN 'false' WHEN 'slider' THEN '0' ELSE '' END AS current_value
 FROM widget_results WHERE status = 201""")
-add("V4_slugs", "SELECT request_id, device_id, user_id, custom_slug, status, applies, url FROM slug_results")
+add("V4_slugs", "SELECT request_id, device_id, user_id, custom_slug, status, applies, url FROM slug_results", SLUGS)
 add("K5_slug_updates", """
 SELECT d.device_id, d.user_id, device_name, api_key, secret_key,
   coalesce((SELECT custom_slug FROM slug_results r WHERE r.device_id = d.device_id AND applies
-            ORDER BY request_id DESC LIMIT 1), public_slug) AS public_slug FROM devices d""")
+            ORDER BY request_id DESC LIMIT 1), public_slug) AS public_slug FROM devices d""", SLUGS)
 BACKFILL = """SELECT device_id, user_id, device_name, api_key, {key} AS secret_key, public_slug FROM devices"""
 add("K6_backfill", BACKFILL.format(
     key="CASE WHEN coalesce(secret_key, '') = '' THEN sha256('test:secret:' || device_id::VARCHAR) ELSE secret_key END"))
