@@ -21,12 +21,15 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
-from tidemark.llm.common import fold, map_rows, min_hashes, seeds, shingle_hashes, table, words_of
+from tidemark.llm.common import arrow_schema, byte_slices, fold, map_rows, min_hashes, seeds, shingle_hashes, table, words_of
 from tidemark.session import stored
 
 FIT_ROWS = 30_000
@@ -253,26 +256,35 @@ def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def scored(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), prefix: str = "") -> DataFrame:
-    """``keep`` columns, the score, and the significant passages (word offsets, p-value); ``prefix`` names these two."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(*keep, F.col("text").alias("_words_of"))
-    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema if f.name != "_words_of")
-    state: dict[str, Scores] = {}
+    """``keep`` columns, the score, and the significant passages (word offsets, p-value); ``prefix`` names these two.
 
-    def run(batch: dict) -> dict:
+    Kept columns pass as they came, and texts are read a few megabytes at a time, so memory does not follow their length.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    columns = [*keep] if "text" in keep else [*keep, "text"]
+    rows = docs.select(*columns)
+    at, kept = columns.index("text"), list(range(len(keep)))
+    added = f"`{prefix}score` double, `{prefix}passages` array<struct<first:int,end:int,p:double>>"
+    schema = StructType([*(rows.schema[i] for i in kept), *StructType.fromDDL(added)])
+    kinds = [f.type for f in arrow_schema(docs.sparkSession, added)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
-        scores = state.setdefault("scores", Scores(known))
-        out: dict = {k: batch[k] for k in keep} | {f"{prefix}score": [], f"{prefix}passages": []}
-        for text in batch["_words_of"]:
-            words = words_of(text)
-            found = segments(np.array(list(map(scores.__getitem__, words))))
-            n = len(words)
-            out[f"{prefix}score"].append(probability(known, strength(known, found, n)))
-            risky = [(-math.expm1(-math.exp(-reduced(known, s, n))), a, b) for s, a, b in found]
-            out[f"{prefix}passages"].append([{"first": a, "end": b, "p": p} for p, a, b in risky if p <= P_VALUE])
-        return out
-
-    return map_rows(rows, run, f"{kinds}`{prefix}score` double, `{prefix}passages` array<struct<first:int,end:int,p:double>>")
+        scores = Scores(known)
+        for batch in batches:
+            for part in byte_slices(batch):
+                values, passages = [], []
+                for row in range(part.num_rows):
+                    words = words_of(part.column(at)[row].as_py())
+                    found = segments(np.array(list(map(scores.__getitem__, words))))
+                    n = len(words)
+                    values.append(probability(known, strength(known, found, n)))
+                    risky = [(-math.expm1(-math.exp(-reduced(known, s, n))), a, b) for s, a, b in found]
+                    passages.append([{"first": a, "end": b, "p": p} for p, a, b in risky if p <= P_VALUE])
+                yield pa.RecordBatch.from_arrays(
+                    [*(part.column(i) for i in kept), pa.array(values, kinds[0]), pa.array(passages, kinds[1])], names=schema.names)
+
+    return rows.mapInArrow(run, schema)
 
 
 def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
