@@ -14,7 +14,7 @@ from tidemark.operators.numbering import number_rows
 from tidemark.session import stored
 
 MIN_PASSWORD = 6  # Fixed value: shortest accepted password.
-LOCAL_ROWS = 10_000  # requests left after a round that one task may decide in order
+LOCAL_ROWS = 100_000  # requests left after a round that one task may decide in order
 
 
 def empty(column: str) -> Column:

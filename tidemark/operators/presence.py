@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tidemark.operators.history import time_literal
 from tidemark.session import stored
 
-SLICE_HOURS = 24
+SLICE_HOURS = 168
 
 
 def slice_of(ts: Column, hours: int) -> Column:
