@@ -152,6 +152,73 @@ def test_delete_job(spark, t, tmp_path):
     assert rows(closes.read().select("conn_key")) == rows(closing.select("conn_key"))
 
 
+def test_deletes_revoke_keys_and_replay(spark, t, tmp_path):
+    """Devices, connections and keys go together, and a repeated batch changes nothing."""
+    requests = t.delete_requests.withColumn("ts", F.lit(datetime(2024, 2, 1)).cast("timestamp_ntz"))
+    deleted, closes, revoked = (BatchTable(spark, str(tmp_path / n), s) for n, s in (
+        ("deleted", jobs.DELETED), ("closes", jobs.CLOSES), ("revoked", jobs.REVOKED)))
+    work = jobs.delete_batch(lambda: t.devices, lambda: t.connections, deleted, closes, revoked)
+    batches = [requests.where(F.col("request_id") % 3 == i) for i in range(3)]
+    for i, batch in enumerate(batches):
+        work(batch, i)
+    before = [rows(table.read()) for table in (deleted, closes, revoked)]
+    for i in (1, 2):
+        work(batches[i], i)
+    assert [rows(table.read()) for table in (deleted, closes, revoked)] == before and all(before)
+    want = conns.deleted_ids(conns.delete_results(requests, t.devices, "device_id"), "device_id")
+    assert rows(deleted.read().select("device_id")) == rows(want)
+    assert rows(revoked.read()) == rows(conns.revoked_keys(tables.registry(t.devices), want).select("device_id", "secret_key"))
+    work(requests.limit(0), 3)
+    assert rows(deleted.read()) == before[0]
+
+
+def test_history_sink(spark, t, message_files, tmp_path):
+    """Several batches, a restart, files nobody sees, and retention."""
+    path, checkpoint = str(tmp_path / "history"), str(tmp_path / "c")
+    stream = lambda: tables.stream_messages(spark, message_files, max_files=1)
+    for _ in range(2):  # the second run finds nothing new
+        jobs.history_job(stream(), t.devices, path, checkpoint, trigger=None).awaitTermination()
+    want = rows(ingest.new_readings(jobs.decisions(tables.read_messages(spark, message_files), t.devices, "device")))
+    assert rows(jobs.read_history(spark, path).drop("day")) == want
+    assert jobs.sweep_history(spark, path, 0) == 0
+    day = next((tmp_path / "history").glob("day=*"))
+    (day / "part-of-a-failed-attempt.parquet").write_bytes(b"unfinished")
+    assert rows(jobs.read_history(spark, path).drop("day")) == want
+    assert jobs.sweep_history(spark, path) == 0 and jobs.sweep_history(spark, path, 0) == 1
+    spark.conf.set("spark.sql.streaming.fileSink.log.compactInterval", "2")
+    try:
+        jobs.history_job(stream(), t.devices, str(tmp_path / "short"), str(tmp_path / "c2"), trigger=None,
+                         retention="1ms").awaitTermination()
+    finally:
+        spark.conf.unset("spark.sql.streaming.fileSink.log.compactInterval")
+    kept = rows(jobs.read_history(spark, str(tmp_path / "short")).drop("day"))
+    assert len(kept) < len(want) and jobs.sweep_history(spark, str(tmp_path / "short"), 0) > 0
+    assert rows(jobs.read_history(spark, str(tmp_path / "short")).drop("day")) == kept
+
+
+def test_clock_rows_leave_no_state(spark, tmp_path):
+    at = lambda s: datetime(2024, 1, 1, 0, 0, s)
+    source, schema = str(tmp_path / "events"), "conn_key long, ts timestamp, event string"
+    events = [(1, at(0), "open"), (1, at(1), "good"), (2, at(0), "open"), (3, at(1), "bad"), (-1, datetime(2030, 1, 1), "clock")]
+    spark.createDataFrame(events, schema).coalesce(1).write.parquet(source)
+    run = (handshake.handshake_verdict_stream(spark.readStream.schema(schema).parquet(source)).writeStream.format("parquet")
+           .option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start())
+    run.awaitTermination()
+    assert {(r.conn_key, r.verdict) for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {(1, "accepted"), (2, "timeout")}
+    assert spark.read.format("statestore").option("stateVarName", "waiting").load(str(tmp_path / "c")).count() == 0
+
+
+def test_exports_keep_times_and_empty_texts(spark, tmp_path):
+    at = datetime(2024, 1, 1, 0, 0, 0, 123456)
+    values = ["", None, "a", '"', "x,y", "null"]
+    export = spark.createDataFrame([(1, at + timedelta(microseconds=i), "s", v, i) for i, v in enumerate(values)],
+                                   "device_id long, ts timestamp_ntz, sensor_type string, value string, data_id long")
+    sinks.write_exports(export, str(tmp_path / "all"), buckets=2)
+    got = sorted(sinks.read_exports(spark, str(tmp_path / "all")).collect(), key=lambda r: r.position)
+    assert [(r.position, r.value, r.ts.microsecond) for r in got] == [
+        (i + 1, values[5 - i], 123456 + 5 - i) for i in range(6)]
+
+
 def test_handshake_timers(spark, t, tmp_path):
     """Verdicts emitted by timers equal the batch verdicts; a late opening moves the clock past them all."""
     attempts = conns.auth_attempts(t.handshakes, tables.registry(t.devices))

@@ -531,6 +531,32 @@ SELECT device_id, sensor_type, row_number() OVER (PARTITION BY device_id, sensor
   strftime(ts, '%H:%M:%S') AS label, value
 FROM (SELECT *, row_number() OVER (PARTITION BY device_id, sensor_type ORDER BY ts DESC, msg_id DESC) AS n
       FROM stored) WHERE n <= 40""".strip())
-for batch, stream in [("A1_current_values", "T7_current_values_stream"),
+add("T2_shared_store", """
+SELECT msg_id + 1 AS data_id, auth_id AS device_id, sensor_type, value, ts
+FROM from_device WHERE outcome IN ('data', 'command') AND value IS NOT NULL
+UNION ALL
+SELECT msg_id + 1, TRY_CAST(target_text AS BIGINT), sensor_type, value, ts
+FROM from_dashboard WHERE outcome = 'command' AND value IS NOT NULL""")
+add("T9_delete_stream", """
+SELECT 'deleted' AS kind, device_id, NULL::VARCHAR AS detail FROM deleted
+UNION ALL
+SELECT 'close', device_id, conn_key::VARCHAR FROM subs WHERE conn_type = 'device' AND device_id IN (SELECT device_id FROM deleted)
+UNION ALL
+SELECT 'revoked', device_id, secret_key FROM registry WHERE device_id IN (SELECT device_id FROM deleted)""")
+add("T4_timer_stream", """
+SELECT conn_key,
+  CASE WHEN is_auth AND ts < opened_at + INTERVAL 20 SECOND
+       THEN CASE WHEN device_id IS NULL THEN 'bad_key' ELSE 'accepted' END ELSE 'timeout' END AS verdict,
+  CASE WHEN is_auth AND ts < opened_at + INTERVAL 20 SECOND THEN ts ELSE opened_at + INTERVAL 20 SECOND END AS decided_at
+FROM handshakes""")
+add("K7_export_files", """
+SELECT device_id, ts, sensor_type, value,
+  row_number() OVER (PARTITION BY device_id ORDER BY ts DESC, data_id DESC) AS position
+FROM sensor_data JOIN devices USING (device_id)""")
+add("O1_history_order", """
+SELECT data_id, row_number() OVER (ORDER BY ts, data_id) AS position FROM recent JOIN devices USING (device_id)""")
+add("O2_export_order", """
+SELECT data_id, row_number() OVER (ORDER BY ts DESC, data_id DESC) AS position FROM sensor_data JOIN devices USING (device_id)""")
+for batch, stream in [("T1_ingest_stream", "S2_message_lines"), ("T1_ingest_stream", "K1_history_sink"), ("A1_current_values", "T7_current_values_stream"),
                       ("T5_connection_state", "T5_connection_stream"), ("T4_handshake", "T4_handshake_stream")]:
     ORACLE[stream] = ORACLE[batch]

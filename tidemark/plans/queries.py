@@ -9,10 +9,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tidemark.functions import payload, scalars
 from tidemark.operators import (bundle, changes, connections as conns, display, history, ingest, presence, routing,
                                 series, state)
+from tidemark.operators.numbering import positions
 from tidemark.session import new_path, stored
 from tidemark.sources import tables
 from tidemark.sources.testdata import TestTables
-from tidemark.streaming import jobs
+from tidemark.streaming import handshake, jobs, sinks
 from tidemark.streaming.log import BatchTable
 
 KEY_SEED = "test"
@@ -501,6 +502,86 @@ def T6_live_series_stream(t):
                        F.col("col.labels").alias("label"), F.col("col.values").alias("value"))
 
 
+@query
+def K1_history_sink(t):
+    """The history as Spark's file sink appends it."""
+    folder = new_path(t.spark, "history")
+    jobs.history_job(StreamTables(t.spark, t.folder).messages, t.devices, f"{folder}/readings", f"{folder}/checkpoint",
+                     trigger=None).awaitTermination()
+    return jobs.read_history(t.spark, f"{folder}/readings").drop("day")
+
+
+@query
+def T2_shared_store(t):
+    """Device and dashboard messages as two streams into one store: all stored readings."""
+    store = ingested(t)
+    owned = ingest.authenticate(StreamTables(t.spark, t.folder).messages, tables.registry(t.devices)).where("accepted")
+    work = jobs.ingest_batch(store, lambda: (t.devices, t.connections), "dashboard")
+    jobs.run(owned.select("msg_id", "ts", "user_id", "raw"), work, f"{store.folder}/dashboards", trigger=None).awaitTermination()
+    return store.readings.read().drop("day")
+
+
+@query
+def S2_message_lines(t):
+    """The messages written as JSON lines and ingested a few files at a time."""
+    folder = new_path(t.spark, "lines")
+    t.messages.repartitionByRange(8, "msg_id").write.options(**sinks.TIMES).json(f"{folder}/messages")
+    store = jobs.IngestStore(t.spark, f"{folder}/store")
+    work = jobs.ingest_batch(store, lambda: (t.devices, t.connections))
+    jobs.run(tables.stream_messages(t.spark, f"{folder}/messages", max_files=3), work, f"{folder}/checkpoint",
+             trigger=None).awaitTermination()
+    return store.readings.read().drop("day")
+
+
+@query
+def T9_delete_stream(t):
+    """Delete requests as a stream: deleted devices, closed connections and revoked keys."""
+    folder = new_path(t.spark, "deletes")
+    stream, moment = StreamTables(t.spark, t.folder), now(t)
+    requests = stream.delete_requests.withColumn("ts", F.lit(moment).cast("timestamp_ntz"))
+    deleted, closes, revoked = (BatchTable(t.spark, f"{folder}/{name}", schema) for name, schema in (
+        ("deleted", jobs.DELETED), ("closes", jobs.CLOSES), ("revoked", jobs.REVOKED)))
+    jobs.delete_job(requests, lambda: t.devices, lambda: t.connections, deleted, closes, f"{folder}/checkpoint",
+                    trigger=None, revoked=revoked).awaitTermination()
+    nothing = F.lit(None).cast("string")
+    return (deleted.read().select(F.lit("deleted").alias("kind"), "device_id", nothing.alias("detail"))
+            .unionByName(closes.read().select(F.lit("close").alias("kind"), "device_id", F.col("conn_key").cast("string").alias("detail")))
+            .unionByName(revoked.read().select(F.lit("revoked").alias("kind"), "device_id", F.col("secret_key").alias("detail"))))
+
+
+@query
+def T4_timer_stream(t):
+    """Verdicts as timers give them; a last row moves the clock past every limit."""
+    folder, stream = new_path(t.spark, "timers"), StreamTables(t.spark, t.folder)
+    attempts = conns.auth_attempts(stream.handshakes, tables.registry(t.devices))
+    end = stream.raw("region").where("r_regionkey = 0").select(
+        F.lit(-1).cast("long").alias("conn_key"), F.lit(now(t)).cast("timestamp").alias("ts"), F.lit("clock").alias("event"))
+    events = handshake.decisive_events(stream.handshakes.select("conn_key", "opened_at"), attempts).unionByName(end)
+    (handshake.handshake_verdict_stream(events).writeStream.format("parquet").option("path", f"{folder}/verdicts")
+     .option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination())
+    return t.spark.read.parquet(f"{folder}/verdicts").select("conn_key", "verdict", F.col("decided_at").cast("timestamp_ntz").alias("decided_at"))
+
+
+@query
+def K7_export_files(t):
+    """Exports of all devices written as CSV and read back, with each row's place in its device's export."""
+    folder = new_path(t.spark, "exports")
+    sinks.write_exports(history.device_export(t.readings, t.devices), folder, buckets=16)
+    return sinks.read_exports(t.spark, folder)
+
+
+@query
+def O1_history_order(t):
+    """Recent history with each row's place in the order of the result."""
+    return positions(history.owner_history(t.readings, t.devices, now(t)), name="position").select("data_id", "position")
+
+
+@query
+def O2_export_order(t):
+    """The export of all devices with each row's place in the order of the result."""
+    return positions(history.device_export(t.readings, t.devices), name="position").select("data_id", "position")
+
+
 @query
 def T7_current_values_stream(t):
     folder = new_path(t.spark, "current")

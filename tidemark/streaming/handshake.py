@@ -18,8 +18,9 @@ VERDICT = StructType([StructField("conn_key", LongType()), StructField("verdict"
 class HandshakeProcessor(StatefulProcessor):
     """Holds each waiting connection until an auth request or its timer decides.
 
-    Input rows: conn_key, ts and event, one of ``open``, ``good`` and ``bad``. State is the time limit
-    and the earliest decisive request so far, since rows of one connection arrive in any order within a batch.
+    Input rows: conn_key, ts and event, one of ``open``, ``good``, ``bad`` and ``clock``. State is the time limit
+    and the earliest decisive request so far, since rows of one connection arrive in any order within a batch. A clock
+    row only moves the watermark; it leaves no state.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -28,7 +29,10 @@ class HandshakeProcessor(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         limit, first_ms, first = self.waiting.get() if self.waiting.exists() else (None, None, None)
+        decisive = False
         for batch in rows:
+            batch = batch[batch["event"] != "clock"]
+            decisive |= len(batch) > 0
             times = batch["ts"].astype("datetime64[ms]").astype("int64")
             opened = times[batch["event"] == "open"]
             if len(opened):
@@ -39,6 +43,9 @@ class HandshakeProcessor(StatefulProcessor):
                 # At equal times the accepted request wins, so it is looked at last.
                 if len(at) and (first_ms is None or at.min() < first_ms or (event == "good" and at.min() == first_ms)):
                     first_ms, first = int(at.min()), event
+        if not decisive:
+            yield pd.DataFrame(columns=VERDICT.fieldNames())
+            return
         if limit is None:  # no opening known: kept for a late one, but never without a timer
             self.handle.registerTimer(first_ms + LIMIT_MS)
         self.waiting.update((limit, first_ms, first))
@@ -65,10 +72,11 @@ class HandshakeProcessor(StatefulProcessor):
 def handshake_verdict_stream(events: DataFrame, delay: str = "0 seconds") -> DataFrame:
     """One verdict per connection, emitted when the watermark passes its time limit.
 
-    ``events`` holds conn_key, ts (timestamp) and event. Only rows that can decide reach the state, so
-    other traffic of a waiting connection costs nothing here. Needs the RocksDB state store.
+    ``events`` holds conn_key, ts (timestamp) and event. Only rows that can decide, and ``clock`` rows, which move the
+    watermark where nothing else does, get here; other traffic of a waiting connection costs nothing. Needs the RocksDB
+    state store.
     """
-    decisive = events.where(F.col("event").isin("open", "good", "bad")).select("conn_key", "ts", "event")
+    decisive = events.where(F.col("event").isin("open", "good", "bad", "clock")).select("conn_key", "ts", "event")
     return (decisive.withWatermark("ts", delay).groupBy("conn_key")
             .transformWithStateInPandas(HandshakeProcessor(), outputStructType=VERDICT, outputMode="append",
                                         timeMode="EventTime"))

@@ -152,6 +152,46 @@ def ingest_batch(store: IngestStore, dimensions: Callable[[], tuple[DataFrame, D
     return each_batch
 
 
+def history_job(messages: DataFrame, devices: DataFrame, path: str, checkpoint: str, conn_type: str = "device",
+                trigger: str | None = TRIGGER, retention: str | None = None) -> StreamingQuery:
+    """Append the readings of messages to a history below ``path``, by day, with Spark's own file sink.
+
+    The sink's log names the files of finished batches, so that readers (:func:`read_history`) need no listing of
+    folders, and a replayed batch adds nothing twice. ``retention``, e.g. ``90d``, lets files older than that drop out
+    of the log; :func:`sweep_history` then removes them. ``devices`` is the registry as of the start of the job.
+    """
+    rows = ingest.new_readings(decisions(messages, devices, conn_type)).withColumn("day", F.to_date("ts"))
+    writer = (rows.writeStream.format("parquet").outputMode("append").partitionBy("day")
+              .option("path", path).option("checkpointLocation", checkpoint))
+    if retention:
+        writer = writer.option("retention", retention)
+    return (writer.trigger(processingTime=trigger) if trigger else writer.trigger(availableNow=True)).start()
+
+
+def read_history(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(READING + ", day date").parquet(path)
+
+
+def sweep_history(spark: SparkSession, path: str, min_age_seconds: int = 86_400) -> int:
+    """Remove files that no reader sees: left by failed attempts, or past the retention. Returns their number.
+
+    Files younger than ``min_age_seconds`` stay, for their batch may not have ended, or a reader may have begun earlier.
+    Lists the day folders once, in the driver; meant to run now and then, not with every batch.
+    """
+    jvm = spark._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    named = {f.rsplit("/", 1)[1] for f in read_history(spark, path).inputFiles()}
+    limit, removed = jvm.System.currentTimeMillis() - 1000 * min_age_seconds, 0
+    for status in files.globStatus(jvm.org.apache.hadoop.fs.Path(root, "day=*/*.parquet")) or []:
+        if status.getPath().getName() not in named and status.getModificationTime() <= limit:
+            removed += files.delete(status.getPath(), False)
+    for status in files.globStatus(jvm.org.apache.hadoop.fs.Path(root, "day=*")) or []:
+        if not files.listStatus(status.getPath()) and status.getModificationTime() <= limit:
+            files.delete(status.getPath(), False)
+    return removed
+
+
 def current_value_job(readings: DataFrame, table: BatchTable, checkpoint: str,
                       trigger: str | None = TRIGGER) -> StreamingQuery:
     """Live current values as streaming state: each batch writes the sensors that changed."""
@@ -166,25 +206,41 @@ def connection_job(events: DataFrame, table: BatchTable, checkpoint: str,
                checkpoint, trigger)
 
 
+def delete_batch(devices: Callable[[], DataFrame], connections: Callable[[], DataFrame], deleted: BatchTable,
+                 closes: BatchTable, revoked: BatchTable | None = None) -> Callable[[DataFrame, int], None]:
+    """The work per micro-batch of :func:`delete_job`; the batch is read once and feeds all outputs."""
+    def each_batch(batch: DataFrame, batch_id: int) -> None:
+        batch = batch.persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            as_of = history.latest_time(batch)
+            if as_of is None:
+                return
+            earlier = deleted.read(before=batch_id)  # not this batch's own folder, which a replay overwrites
+            left = conns.without(devices(), earlier.select("device_id"), "device_id")
+            gone = conns.deleted_ids(conns.delete_results(batch, left, "device_id"), "device_id")
+            # The written ids decide the other outputs too, so that these cannot disagree.
+            deleted.write(batch_id, gone.withColumn("at_batch", F.lit(batch_id).cast("long")))
+            gone = deleted.batch(batch_id).select("device_id")
+            outputs = {closes: conns.close_events(connections(), gone, as_of)}
+            if revoked is not None:
+                outputs[revoked] = conns.revoked_keys(tables.registry(devices()), gone).select("device_id", "secret_key")
+            write_all(batch_id, outputs)
+        finally:
+            batch.unpersist()
+    return each_batch
+
+
 def delete_job(requests: DataFrame, devices: Callable[[], DataFrame], connections: Callable[[], DataFrame],
                deleted: BatchTable, closes: BatchTable, checkpoint: str,
-               trigger: str | None = TRIGGER) -> StreamingQuery:
-    """Delete requests: record the deleted devices and close their open connections.
+               trigger: str | None = TRIGGER, revoked: BatchTable | None = None) -> StreamingQuery:
+    """Delete requests: record the deleted devices, close their open connections and take back their keys.
 
     ``requests`` holds request_id, ts, device_id and user_id.
     """
-    def each_batch(batch: DataFrame, batch_id: int) -> None:
-        as_of = history.latest_time(batch)
-        if as_of is None:
-            return
-        earlier = deleted.read(before=batch_id)  # not this batch's own folder, which a replay overwrites
-        left = conns.without(devices(), earlier.select("device_id"), "device_id")
-        gone = conns.deleted_ids(conns.delete_results(batch, left, "device_id"), "device_id")
-        deleted.write(batch_id, gone.withColumn("at_batch", F.lit(batch_id).cast("long")))
-        closes.write(batch_id, conns.close_events(connections(), gone, as_of))
-    return run(requests, each_batch, checkpoint, trigger)
+    return run(requests, delete_batch(devices, connections, deleted, closes, revoked), checkpoint, trigger)
 
 
+REVOKED = "device_id long, secret_key string"
 DELETED = "device_id long, at_batch long"
 CLOSES = "conn_key long, event string, ts timestamp_ntz, device_id long"
 

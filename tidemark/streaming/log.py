@@ -55,6 +55,10 @@ class BatchTable:
                    if (upto is None or n > upto) and (before is None or n < before)}
         return [batches[n] for n in sorted(batches)], bases.get(upto), max(batches, default=None)
 
+    def batch(self, batch_id: int) -> DataFrame:
+        """The rows one batch wrote."""
+        return self.spark.read.schema(self.schema).parquet(f"{self.path}/batches/batch_id={batch_id}")
+
     def read(self, before: int | None = None) -> DataFrame:
         """All complete rows, or those of the batches below ``before``; an empty table before the first batch."""
         whole = [part._rows(part._newest(before)) for part in self._parts()]

@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+
+from tidemark.operators.numbering import number_rows
+
+# Times keep their microseconds; the default of the writer is milliseconds.
+TIMES = {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+CSV_OPTIONS = {"header": True, **TIMES}
 
 
 def write_export(rows: DataFrame, path: str) -> None:
     """Export of one device as CSV with a header, newest first across the numbered files; ties by data_id."""
     (rows.orderBy(F.desc("ts"), F.desc("data_id")).select("ts", "sensor_type", "value")
-     .write.mode("overwrite").option("header", True).csv(path))
+     .write.mode("overwrite").options(**CSV_OPTIONS).csv(path))
 
 
 def write_exports(rows: DataFrame, path: str, buckets: int = 256) -> None:
@@ -21,7 +27,21 @@ def write_exports(rows: DataFrame, path: str, buckets: int = 256) -> None:
      .repartitionByRange("bucket", "device_id", F.desc("ts"), F.desc("data_id"))
      .sortWithinPartitions("bucket", "device_id", F.desc("ts"), F.desc("data_id"))
      .select("bucket", "device_id", "ts", "sensor_type", "value")
-     .write.mode("overwrite").partitionBy("bucket").option("header", True).csv(path))
+     .write.mode("overwrite").partitionBy("bucket").options(**CSV_OPTIONS).csv(path))
+
+
+def read_exports(spark: SparkSession, path: str) -> DataFrame:
+    """The files of :func:`write_exports`: device_id, ts, sensor_type, value, and ``position``, the row's place in its
+    device's export as the files hold it, file by file and line by line, 1 being the first."""
+    # An unquoted empty field is null, a quoted one the empty text; the reader tells them apart only by a null mark.
+    rows = (spark.read.options(**CSV_OPTIONS, nullValue="\x01")
+            .schema("device_id long, ts timestamp_ntz, sensor_type string, value string, bucket int").csv(path)
+            .select("bucket", "device_id", "ts", "sensor_type", "value", F.col("_metadata.file_name").alias("_file"),
+                    F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_line")))
+    order = ["bucket", "device_id", "_file", "_block", "_line"]
+    first = F.min("_n").over(Window.partitionBy("device_id"))
+    return (number_rows(rows, order, name="_n").withColumn("position", F.col("_n") - first + 1)
+            .select("device_id", "ts", "sensor_type", "value", "position"))
 
 
 def queue_records(records: DataFrame, parts: int = 32) -> DataFrame:
