@@ -15,6 +15,7 @@ WORD_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <=
                    for c in range(256))
 
 SLICE_BYTES = 4 << 20
+BATCH_BYTES = "8m"
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -51,6 +52,12 @@ def map_rows(frame: DataFrame, function: Callable[[dict], Iterator[dict] | list[
     return frame.mapInArrow(batches, schema)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Let Arrow batches of this session hold at most ``BATCH_BYTES``, whatever the texts' lengths, unless it says otherwise."""
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", "unset") == "unset":
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def byte_slices(batch: pa.RecordBatch, budget: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Parts of a batch of at most ``budget`` bytes, or of one row."""
     if batch.nbytes <= budget or batch.num_rows <= 1:

@@ -29,7 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
-from tidemark.llm.common import arrow_schema, byte_slices, fold, map_rows, min_hashes, seeds, shingle_hashes, table, words_of
+from tidemark.llm.common import (arrow_schema, bound_batches, byte_slices, fold, map_rows, min_hashes, seeds, shingle_hashes,
+                                 table, words_of)
 from tidemark.session import stored
 
 FIT_ROWS = 30_000
@@ -61,7 +62,7 @@ class Scores(dict):
     def __missing__(self, word: bytes) -> float:
         known = self.model.scores
         score = next((known[u] for u in units(word) if u in known), self.model.unknown)
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         self[word] = score
         return score
@@ -260,6 +261,7 @@ def scored(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), p
 
     Kept columns pass as they came, and texts are read a few megabytes at a time, so memory does not follow their length.
     """
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     columns = [*keep] if "text" in keep else [*keep, "text"]
     rows = docs.select(*columns)
