@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.llm import bpe, decontamination, near_duplicates, secrets, toxicity
-from tidemark.llm.common import table
+from tidemark.llm.common import bound_batches, table
 from tidemark.session import stored
 
 TOXIC = 0.5
@@ -24,11 +24,13 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group whose sets of five-word runs have a similarity of 0.8 or more."""
+    bound_batches(spark)
     return near_duplicates.deduplicated(docs).select(docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Benchmark passages are cut out; documents that are mostly such passages go."""
+    bound_batches(spark)
     return decontamination.decontaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
@@ -39,6 +41,7 @@ def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token count and hashes of the ids and of the decoded text."""
+    bound_batches(spark)
     return bpe.encoded(docs)
 
 
