@@ -54,8 +54,9 @@ def map_rows(frame: DataFrame, function: Callable[[dict], Iterator[dict] | list[
 
 def bound_batches(spark: SparkSession) -> None:
     """Let Arrow batches of this session hold at most ``BATCH_BYTES``, whatever the texts' lengths, unless it says otherwise."""
-    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", "unset") == "unset":
-        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if setting not in spark.conf.getAll:
+        spark.conf.set(setting, BATCH_BYTES)
 
 
 def byte_slices(batch: pa.RecordBatch, budget: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
