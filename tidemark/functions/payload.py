@@ -48,16 +48,17 @@ def as_text(value: Column) -> Column:
     return value.cast("string")
 
 
-def as_number_text(value: Column) -> Column:
+def as_number_text(value: Column, plain: Column | None = None) -> Column:
     """Like :func:`as_text`, with every number as a browser prints it: the shortest digits of the double, in full
     from 1e-6 up to 1e21, else with an exponent.
 
-    Texts that can differ from that form are those with an exponent, ending in ``.0``, of 16 or more characters or
-    below 1e-6; the costlier look at the type and the digits is limited to them.
+    Texts that can differ from that form are those with an exponent, ending in ``.0``, of 16 or more characters,
+    below 1e-6, and ``-0``; the costlier look at the type and the digits is limited to them. ``plain`` is the value's text, if
+    it is at hand.
     """
-    plain = value.cast("string")
+    plain = as_text(value) if plain is None else plain
     is_number = F.schema_of_variant(value).rlike("^(DOUBLE|DECIMAL|BIGINT)")
-    unusual = plain.rlike(r"^-?(?:[0-9.]{16,}|0\.000000[0-9]*|[0-9.]+E-?[0-9]+|[0-9]+\.0|0|Infinity)$")
+    unusual = plain.rlike(r"^-?(?:[0-9.]{16,}|0\.000000[0-9]*|[0-9.]+E-?[0-9]+|[0-9]+\.0|Infinity)$|^-0$")
     return F.when(unusual, F.when(is_number, browser_number(plain.try_cast("double"))).otherwise(plain)).otherwise(plain)
 
 
@@ -81,9 +82,9 @@ def browser_number(number: Column) -> Column:
             .otherwise(text))
 
 
-def truthy(value: Column) -> Column:
+def truthy(value: Column, plain: Column | None = None) -> Column:
     """False for a missing field, null, empty text, false and zero; true for everything else."""
-    plain = value.cast("string")
+    plain = as_text(value) if plain is None else plain
     return (F.when(plain.isNull() | (plain == ""), False)
             .when(plain.isin("0", "-0", "0.0", "-0.0", "false"), F.schema_of_variant(value) == "STRING")
             .otherwise(True))
@@ -110,19 +111,27 @@ def with_fields(messages: DataFrame, raw: str = "raw") -> DataFrame:
     """
     sources = ("var", "sensor_type", "val", "value", "type", "device_id")
     fields = payload_fields(messages, raw, *sources)
-    name = F.when(not_null(F.col("_var")), F.col("_var")).otherwise(F.col("_sensor_type"))
-    value = F.when(present(F.col("_val")), F.col("_val")).otherwise(F.col("_value"))
-    target = F.nullif(as_text(F.col("_device_id")), F.lit(""))
-    return compute_once(fields, {
-        "name_ok": truthy(name),
-        "sensor_type": as_text(name),
+    chosen = compute_once(fields, {
+        "_name": F.when(not_null(F.col("_var")), F.col("_var")).otherwise(F.col("_sensor_type")),
+        "payload_value": F.when(present(F.col("_val")), F.col("_val")).otherwise(F.col("_value")),
+    })
+    # Texts are made once; every further question is asked of them.
+    texts = compute_once(chosen, {
+        "_name_text": as_text(F.col("_name")),
+        "_plain": as_text(F.col("payload_value")),
+        "_device": as_text(F.col("_device_id")),
+    })
+    value, name, device = F.col("payload_value"), F.col("_name"), F.col("_device_id")
+    target = F.nullif(F.col("_device"), F.lit(""))
+    return compute_once(texts, {
+        "name_ok": truthy(name, F.col("_name_text")),
+        "sensor_type": F.col("_name_text"),
         "value_present": present(value),
-        "value": as_number_text(value),
-        "payload_value": value,
+        "value": as_number_text(value, F.col("_plain")),
         "target_text": target,
-        "target_truthy": truthy(F.col("_device_id")),
+        "target_truthy": truthy(device, F.col("_device")),
         "is_command": is_command_type(F.col("_type")) | target.isNotNull(),
-    }).drop(*[f"_{n}" for n in sources])
+    }).drop("_name", "_name_text", "_plain", "_device", *[f"_{n}" for n in sources])
 
 
 def priority(conn_type: Column, is_command: Column) -> Column:
