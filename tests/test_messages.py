@@ -105,3 +105,16 @@ def test_command_lines(spark):
     rows = spark.createDataFrame([(k,) for k in cases], "c string")
     got = rows.select("c", payload.command_word(F.col("c")), payload.command_argument(F.col("c"))).collect()
     assert {r[0]: (r[1], r[2]) for r in got} == cases
+
+
+def test_repeated_keys_need_the_setting(spark):
+    setting = "spark.sql.variant.allowDuplicateKeys"
+    before = spark.conf.get(setting)
+    try:
+        spark.conf.set(setting, "false")
+        with pytest.raises(RuntimeError):
+            fields(spark, '{"var":"a"}')
+        spark.conf.unset(setting)
+        assert fields(spark, '{"var":"a","val":1,"val":2}')[0].value == "2"
+    finally:
+        spark.conf.set(setting, before)

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import connections as conns, ingest, series, state
-from tidemark.schemas import CONNECTION_EVENTS, DEVICES, READINGS
+from tidemark.schemas import CONNECTION_EVENTS, CONNECTIONS, DEVICES, READINGS
 from tidemark.sources import tables
 from tidemark.sources.testdata import TestTables
 from tidemark.streaming import handshake, jobs, sinks
@@ -79,6 +79,20 @@ def test_dashboard_messages(spark, t, tmp_path):
     assert store.commands.read().count() == replies["ack"]
 
 
+def test_values_for_no_registered_device_are_kept(spark, tmp_path):
+    """A dashboard may name any device; what is acknowledged is stored."""
+    raws = ['{"device_id":"abc","var":"a","val":1}', '{"device_id":"abc","var":"a","val":null}', '{"device_id":9,"var":"a","val":2}']
+    batch = spark.createDataFrame([(i, datetime(2024, 1, 1), 1, r) for i, r in enumerate(raws)],
+                                  "msg_id long, ts timestamp_ntz, user_id long, raw string")
+    store = jobs.IngestStore(spark, str(tmp_path))
+    nothing = spark.createDataFrame([], DEVICES), spark.createDataFrame([], CONNECTIONS)
+    jobs.ingest_batch(store, lambda: nothing, "dashboard")(batch, 0)
+    assert [(r.data_id, r.device_text, r.value) for r in store.strays.read().collect()] == [(1, "abc", "1")]
+    assert [r.data_id for r in store.readings.read().collect()] == [3]
+    assert {(r.msg_id, r.device_id, r.val) for r in store.replies.read().collect()} == {
+        (0, "abc", "1"), (1, "abc", None), (2, "9", "2")}
+
+
 def test_sender_connection_is_skipped(spark, tmp_path):
     devices = spark.createDataFrame([(1, 1, "one", "a", "k", None)], DEVICES)
     connections = spark.createDataFrame(

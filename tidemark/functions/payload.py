@@ -6,7 +6,7 @@ variant null, so the two stay distinguishable.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
 def compute_once(rows: DataFrame, columns: dict[str, Column]) -> DataFrame:
@@ -90,8 +90,18 @@ def truthy(value: Column, plain: Column | None = None) -> Column:
             .otherwise(True))
 
 
+def allow_repeated_keys(spark: SparkSession) -> None:
+    """Let the last one of repeated JSON keys count, as clients expect; a session that forbids it is an error."""
+    setting = "spark.sql.variant.allowDuplicateKeys"
+    if setting not in spark.conf.getAll:
+        spark.conf.set(setting, "true")
+    if spark.conf.get(setting) != "true":
+        raise RuntimeError(f"{setting} is off: payloads with a repeated key would pass for malformed")
+
+
 def payload_fields(messages: DataFrame, raw: str, *names: str) -> DataFrame:
     """Add ``is_json`` and the named payload fields as variants ``_name``."""
+    allow_repeated_keys(messages.sparkSession)
     parsed = compute_once(messages, {"_document": parse(F.col(raw))})
     fields = {f"_{n}": field(F.col("_document"), n) for n in names}
     return compute_once(parsed, {"is_json": F.col("_document").isNotNull(), **fields}).drop("_document")

@@ -80,6 +80,12 @@ def new_readings(outcomes: DataFrame) -> DataFrame:
     return new_values(outcomes).where(F.col("value").isNotNull())
 
 
+def stray_values(outcomes: DataFrame) -> DataFrame:
+    """Accepted values for a device id that is no number, so of no registered device, kept with the id as it came."""
+    return (outcomes.where(F.col("outcome").isin("command", "data") & F.col("target_id").isNull() & F.col("value").isNotNull())
+            .select((F.col("msg_id") + 1).alias("data_id"), F.col("target_text").alias("device_text"), "sensor_type", "value", "ts"))
+
+
 def new_updates(outcomes: DataFrame) -> DataFrame:
     """Updates to send out, with the kind that decides who is told."""
     return (outcomes.where(F.col("outcome").isin("command", "data") & F.col("target_id").isNotNull())

@@ -298,6 +298,10 @@ SELECT u.user_id, count(r.data_id) AS n_rows
 FROM users u LEFT JOIN (devices d JOIN recent r ON r.device_id = d.device_id) ON d.user_id = u.user_id
 GROUP BY u.user_id""")
 
+add("A2_registry_counts", """
+SELECT user_id, CAST(count(*) FILTER (secret_key <> '') AS BIGINT) AS n_keys,
+  CAST(count(*) FILTER (coalesce(secret_key, '') = '') AS BIGINT) AS n_missing FROM devices GROUP BY user_id""")
+
 add("A1_current_values", "SELECT device_id, sensor_type, value, ts, data_id FROM latest")
 add("K2_widget_snapshot", """
 SELECT widget_id, user_id, device_id, sensor_type, widget_type, data_type, current_value FROM live_widgets""")
@@ -372,7 +376,15 @@ add("M6_frame_class", """
 SELECT 'device' AS origin, msg_id, CASE WHEN is_json THEN 'JSON' ELSE 'RAW' END AS frame_class FROM fields
 UNION ALL
 SELECT 'reply', msg_id, CASE WHEN outcome = 'cross_device' THEN 'ERROR' ELSE 'ACK' END
-FROM from_device WHERE outcome IN ('data', 'command', 'cross_device')""")
+FROM from_device WHERE outcome IN ('data', 'command', 'cross_device')
+UNION ALL
+SELECT 'outbox', update_id, 'JSON' FROM updates
+UNION ALL
+SELECT 'outbox', update_id, 'DATA' FROM updates
+UNION ALL
+SELECT 'outbox', update_id, 'DATA' FROM updates WHERE public_slug IS NOT NULL""")
+add("M3_dashboard_class", """
+SELECT msg_id, 'dashboard-command' AS message_class, CAST(1 AS BIGINT) AS priority FROM from_dashboard WHERE is_json""")
 add("M7_command_text", """
 SELECT msg_id, CASE msg_id % 6 WHEN 0 THEN 'CONNECT' WHEN 1 THEN 'STATUS' WHEN 2 THEN 'CLEAR' WHEN 3 THEN NULL
     ELSE 'SEND' END AS word,

@@ -141,6 +141,15 @@ def A2_counts(t):
     return history.rows_per_owner(t.readings, t.devices, t.users, now(t))
 
 
+@query
+def A2_registry_counts(t):
+    """Keys that can authenticate and devices that cannot, per owner."""
+    missing = tables.missing_key(t.devices).select("user_id", F.lit(1).alias("missing"))
+    known = tables.registry(t.devices).select("user_id", F.lit(0).alias("missing"))
+    return known.unionByName(missing).groupBy("user_id").agg(
+        F.sum(1 - F.col("missing")).alias("n_keys"), F.sum("missing").alias("n_missing"))
+
+
 # Current values, series, display
 
 @query
@@ -231,6 +240,14 @@ def M2_message_class(t):
                         payload.priority(kind, F.col("is_command")).cast("long").alias("priority"))
 
 
+@query
+def M3_dashboard_class(t):
+    known = dashboard_messages(t).where("is_json")
+    kind = F.col("conn_type")
+    return known.select("msg_id", payload.message_class(kind, F.col("is_command")).alias("message_class"),
+                        payload.priority(kind, F.col("is_command")).cast("long").alias("priority"))
+
+
 @query
 def M5_auto_routed(t):
     known = ingest.authenticate(t.messages, tables.registry(t.devices))
@@ -244,7 +261,9 @@ def M6_frame_class(t):
     answers = ingest.reply_frames(ingest.replies(presence.with_senders(device_messages(t), steps(t))))
     frames = (answers.select(F.lit("reply").alias("origin"), "msg_id", "frame")
               .unionByName(t.messages.select(F.lit("device").alias("origin"), "msg_id",
-                                             F.col("raw").alias("frame"))))
+                                             F.col("raw").alias("frame")))
+              .unionByName(routing.outbox(routing.with_owner(updates(t), t.devices)).select(
+                  F.lit("outbox").alias("origin"), F.col("update_id").alias("msg_id"), F.col("payload").alias("frame"))))
     parsed = payload.compute_once(frames, {"document": payload.parse(F.col("frame"))})
     return parsed.select("origin", "msg_id", payload.frame_class(F.col("document")).alias("frame_class"))
 

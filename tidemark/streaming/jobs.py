@@ -20,6 +20,7 @@ READING = "data_id long, device_id long, sensor_type string, value string, ts ti
 REPLY = ("msg_id long, status string, type string, device_id string, var string, val string, "
          "timestamp string, message string, frame string")
 RECORD = "update_id long, ts timestamp_ntz, audience string, skip_conn_key long, payload string"
+STRAY = "data_id long, device_text string, sensor_type string, value string, ts timestamp_ntz"
 COMMAND = "msg_id long, target_id long, payload string"
 STEPS = "conn_key long, open_ts timestamp_ntz, auth_ts timestamp_ntz, close_ts timestamp_ntz"
 HANDSHAKE = "conn_key long, opened_at timestamp_ntz, good_ts timestamp_ntz, bad_ts timestamp_ntz"
@@ -50,6 +51,11 @@ class IngestStore:
     def readings(self) -> BatchTable:
         return self._table("readings", READING + ", day date", "day")
 
+    @cached_property
+    def strays(self) -> BatchTable:
+        """Acknowledged values whose device id is no number."""
+        return self._table("strays", STRAY)
+
     @cached_property
     def latest(self) -> BatchTable:
         return self._table("latest", READING)
@@ -140,6 +146,7 @@ def ingest_batch(store: IngestStore, dimensions: Callable[[], tuple[DataFrame, D
             answers = ingest.replies(placed)
             write_all(batch_id, {
                 store.readings: readings.withColumn("day", F.to_date("ts")),
+                store.strays: ingest.stray_values(outcomes),
                 store.latest: state.current_values(ingest.new_values(outcomes)),
                 store.points: series.last_points(readings, store.kept_points),
                 store.replies: ingest.reply_frames(answers),
