@@ -1,14 +1,15 @@
 """Near-duplicate documents: multi-index Hamming join over b-bit min-hash signatures, links confirmed on full sets.
 
 A document's set holds its runs of ``k`` words. Equal sets form a class; classes, not copies, are compared. A signature
-has ``CHUNKS * WIDTH`` min-hashes of 16 bits each. By pigeonhole two signatures that differ in at most
-``CHUNKS * (ERRORS + 1) - 1`` places (15 of 40) agree in some chunk but for one error; so every chunk is filed once for
-each place that may be wrong, under the other places, and all such pairs share a bucket. A pair with a similarity of 0.85
-misses every bucket with a probability below 1e-6.
+has ``chunks * WIDTH`` min-hashes of 16 bits each. By pigeonhole two signatures that differ in at most
+``2 * chunks - 1`` places agree in some chunk but for one error; so every chunk is filed once for each place that may be
+wrong, under the other places, and all such pairs share a bucket. The number of chunks follows from the similarity asked
+for, so that a pair at that similarity misses every bucket with a probability of at most ``MISS`` (8 chunks at 0.85, 11
+at 0.8); every pair that shares a bucket and fits by size can be confirmed, however far its signatures are apart.
 
 Buckets may be of any size. In each, all members are first confirmed against the member with the smallest id, then,
 where a bucket still spans several components, against the one with the largest; what is still apart is compared in full,
-in pairs of blocks of about ``BLOCK`` members, by signatures first. So no link between components is lost, and a group of
+in pairs of blocks of about ``BLOCK`` members, nearest signatures first. So no link between components is lost, and a group of
 thousands of near copies does not write out its pairs. Blocks pass on links, not pairs.
 
 Documents without words have an empty set, are linked with nothing and kept. Null ids are linked with nothing. Rows that
@@ -18,20 +19,20 @@ share an id count as one document's texts, each judged; empty tables give empty
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from math import ceil, log
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm.common import map_rows, mixed, seeds, shingle_hashes, table, utf8
+from tidemark.llm.common import bound_batches, map_slices, mixed, seeds, shingle_hashes, table, utf8
 from tidemark.llm.graphs import components
 from tidemark.session import stored
 
-CHUNKS, WIDTH, ERRORS = 8, 5, 1
-PLACES = CHUNKS * WIDTH
+WIDTH = 5              # places of a chunk, one of which may be wrong
+MISS = 1e-6            # probability that a pair at the similarity asked for shares no bucket
 BLOCK = 256
-NEAR_PLACES = 18       # pairs further apart are not confirmed in blocks; at a similarity of 0.85 one in 10^6 is
 BROADCAST_IDS = 1_000_000
 
 
@@ -40,6 +41,13 @@ def blank_words(text: str | None) -> list[bytes]:
     return utf8(text).lower().split()
 
 
+def chunks_for(percent: int) -> int:
+    """Chunks of a signature, so that a pair of that similarity shares no bucket with a probability of at most ``MISS``."""
+    alike = percent / 100
+    met = alike ** WIDTH + WIDTH * alike ** (WIDTH - 1) * (1 - alike)
+    return max(1, ceil(log(MISS) / log(1 - met))) if met < 1 else 1
+
+
 def set_of(text: str | None, words: Callable[[str | None], list[bytes]], k: int) -> np.ndarray:
     return np.unique(shingle_hashes(words(text), k))
 
@@ -54,9 +62,9 @@ def signature(hashes: np.ndarray, multipliers: np.ndarray) -> bytes:
     return mixed(least).astype(np.uint16).tobytes()
 
 
-def sketches(docs: DataFrame, words=blank_words, k: int = 3) -> DataFrame:
+def sketches(docs: DataFrame, words=blank_words, k: int = 3, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, set_hash (null for an empty set) and signature of every row."""
-    multipliers = seeds(PLACES, 4)
+    multipliers = seeds(chunks_for(percent) * WIDTH, 4)
 
     def run(batch: dict) -> dict:
         out = {"doc_id": batch["doc_id"], "n_shingles": [], "set_hash": [], "signature": []}
@@ -67,35 +75,37 @@ def sketches(docs: DataFrame, words=blank_words, k: int = 3) -> DataFrame:
             out["signature"].append(signature(hashes, multipliers) if len(hashes) else None)
         return out
 
-    return map_rows(docs.select(F.col("doc_id").cast("long"), "text"), run,
+    return map_slices(docs.select(F.col("doc_id").cast("long"), "text"), run,
                     "doc_id long, n_shingles long, set_hash binary, signature binary")
 
 
-def bucket_entries(classes: DataFrame) -> DataFrame:
+def bucket_entries(classes: DataFrame, percent: int = 85) -> DataFrame:
     """(bucket, id): each chunk of each signature, once for every place that may be wrong."""
-    slots = mixed(np.arange(1, PLACES + 1, dtype=np.uint64))
+    chunks = chunks_for(percent)
+    places = chunks * WIDTH
+    slots = mixed(np.arange(1, places + 1, dtype=np.uint64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            signs = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(-1, CHUNKS, WIDTH)
-            keys = np.empty((len(ids), PLACES), np.uint64)
-            for chunk in range(CHUNKS):
+            signs = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(-1, chunks, WIDTH)
+            keys = np.empty((len(ids), places), np.uint64)
+            for chunk in range(chunks):
                 for wrong in range(WIDTH):
                     packed = np.zeros(len(ids), np.uint64)
                     for place in range(WIDTH):
                         if place != wrong:
                             packed = (packed << np.uint64(16)) | signs[:, chunk, place].astype(np.uint64)
                     keys[:, chunk * WIDTH + wrong] = mixed(packed ^ slots[chunk * WIDTH + wrong])
-            yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(np.repeat(ids, PLACES))],
+            yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(np.repeat(ids, places))],
                                              names=["bucket", "id"])
 
     return classes.select("id", "signature").mapInArrow(run, "bucket long, id long")
 
 
-def shared_buckets(classes: DataFrame) -> DataFrame:
+def shared_buckets(classes: DataFrame, percent: int = 85) -> DataFrame:
     """Entries of buckets with at least two members; single ones are found by counting and go first."""
-    entries = bucket_entries(classes)
+    entries = bucket_entries(classes, percent)
     several = (entries.groupBy("bucket").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high"))
     return entries.join(several.select("bucket"), "bucket", "left_semi")
 
@@ -104,7 +114,7 @@ def sets_for(docs: DataFrame, ids: DataFrame, words, k: int) -> DataFrame:
     """(id, elements): the full sets of the given documents, as sorted hashes. ``ids`` is broadcast only if counted small."""
     few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(F.broadcast(ids) if few else ids, "id", "left_semi")
-    return map_rows(rows, lambda b: {"id": b["id"], "elements": [set_of(t, words, k).tobytes() for t in b["text"]]},
+    return map_slices(rows, lambda b: {"id": b["id"], "elements": [set_of(t, words, k).tobytes() for t in b["text"]]},
                     "id long, elements binary")
 
 
@@ -127,7 +137,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 out["b"].append(b)
         return out
 
-    return map_rows(pairs.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b"), run, "a long, b long")
+    return map_slices(pairs.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b"), run, "a long, b long")
 
 
 def split_members(members: DataFrame, labels: DataFrame) -> DataFrame:
@@ -149,9 +159,11 @@ def leader_pairs(members: DataFrame, leader) -> DataFrame:
 def block_links(members: DataFrame, classes: DataFrame, docs: DataFrame, words, k: int, percent: int) -> DataFrame:
     """Confirmed links (a, b) that join components, among members that share buckets, compared block by block.
 
-    Members that are connected by buckets form a family; a pair of blocks of a family is one group, which confirms pairs
-    on full sets, nearest signatures first, and passes over pairs that its own links have already joined.
+    Members that are connected by buckets form a family; a pair of blocks of a family is one group, which confirms all
+    pairs of a bucket that fit by size on full sets, nearest signatures first, and passes over pairs that its own links
+    have already joined.
     """
+    chunks = chunks_for(percent)
     first = members.groupBy("bucket").agg(F.min("id").alias("a"))
     family = components(members.join(first, "bucket").select("a", F.col("id").alias("b"))).withColumnRenamed("component", "family")
     rows = members.select("id", "component").distinct().join(family, "id")
@@ -166,16 +178,18 @@ def block_links(members: DataFrame, classes: DataFrame, docs: DataFrame, words,
     def compare(group: pa.Table) -> pa.Table:
         ids, size, block = (group[c].to_numpy() for c in ("id", "n_shingles", "_own"))
         names, root = np.unique(group["component"].to_numpy(), return_inverse=True)
-        signs = np.frombuffer(b"".join(group["signature"].to_pylist()), np.uint16).reshape(-1, PLACES)
+        signs = np.frombuffer(b"".join(group["signature"].to_pylist()), np.uint16).reshape(-1, chunks, WIDTH)
         sets = [np.frombuffer(x, np.uint64) for x in group["elements"].to_pylist()]
         within = group["_i"][0].as_py() == group["_j"][0].as_py()
         a, b = [], []
         for i in range(len(ids) - 1):
-            apart = (signs[i + 1:] != signs[i]).sum(axis=1)
-            fits = ((apart <= NEAR_PLACES) & (root[i + 1:] != root[i]) & (within | (block[i + 1:] != block[i]))
+            fits = ((root[i + 1:] != root[i]) & (within | (block[i + 1:] != block[i]))
                     & (100 * np.minimum(size[i + 1:], size[i]) >= percent * np.maximum(size[i + 1:], size[i])))
-            others = np.flatnonzero(fits)
-            for j in (others[np.argsort(apart[others], kind="stable")] + i + 1).tolist():
+            others = np.flatnonzero(fits) + i + 1
+            wrong = (signs[others] != signs[i]).sum(axis=2)
+            apart, meet = wrong.sum(axis=1), wrong.min(axis=1) <= 1
+            others = others[meet][np.argsort(apart[meet], kind="stable")]
+            for j in others.tolist():
                 if root[i] != root[j] and linked(sets[i], sets[j], percent):
                     root[root == root[j]] = root[i]
                     a.append(min(ids[i], ids[j]))
@@ -188,12 +202,12 @@ def block_links(members: DataFrame, classes: DataFrame, docs: DataFrame, words,
 
 def near_duplicates(docs: DataFrame, percent: int = 85, words=blank_words, k: int = 3) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row of ``docs``."""
-    sketched = stored(sketches(docs, words, k), "sketches")
+    sketched = stored(sketches(docs, words, k, percent), "sketches")
     classes = stored(sketched.where("set_hash IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_hash").agg(
         F.min("doc_id").alias("id"), F.max("n_shingles").alias("n_shingles"), F.max("signature").alias("signature")), "classes")
     # A document with several texts leads with the largest set; its other classes are judged by their own copies.
     one = classes.groupBy("id").agg(F.max(F.struct("n_shingles", "signature")).alias("s")).select("id", "s.*")
-    members = stored(shared_buckets(one), "bucket-members")
+    members = stored(shared_buckets(one, percent), "bucket-members")
     labels = members.select("id", F.col("id").alias("component")).limit(0)
     links = None
     tried = None
@@ -237,4 +251,5 @@ def deduplicated(docs: DataFrame, percent: int = 80, words=blank_words, k: int =
 
 
 def op4_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    bound_batches(spark)
     return near_duplicates(table(spark, folder, "documents").select("doc_id", "text"))
