@@ -130,6 +130,18 @@ def test_near_duplicates_equal_brute_force(spark, texts):
     assert kept == sorted(i for i in label5 if label5[i] == i)
 
 
+def test_pairs_of_a_bucket_are_confirmed_however_far_apart(spark):
+    assert [near_duplicates.chunks_for(p) for p in (80, 85, 95, 100)] == [11, 8, 4, 1]
+    # Two documents that agree in one chunk but for one place, and in no other place, and have equal sets.
+    width = near_duplicates.WIDTH
+    signs = [bytes(range(200, 200 + 2 * width)) + bytes([i] * 14 * width) for i in (1, 2)]
+    classes = spark.createDataFrame([(1, 5, signs[0]), (2, 5, signs[1])], "id long, n_shingles long, signature binary")
+    members = near_duplicates.shared_buckets(classes).withColumn("component", near_duplicates.F.col("id"))
+    docs = spark.createDataFrame([(1, "a b c d e f g"), (2, "a b c d e f g")], "doc_id long, text string")
+    links = near_duplicates.block_links(members, classes, docs, near_duplicates.blank_words, 3, 85).collect()
+    assert [(r["a"], r["b"]) for r in links] == [(1, 2)]
+
+
 def test_repeated_passages(spark, docs):
     rows = {r["doc_id"]: r for r in substrings.substring_duplicates(docs).where("doc_id <> 12").collect()}
     assert rows[1]["class_id"] == rows[2]["class_id"] == rows[3]["class_id"] == 1
@@ -227,6 +239,37 @@ def test_secrets(spark):
     assert masked == {2: None, 3: rows[2][1], 4: rows[3][1], 5: "[SECRET] [SECRET]"}
 
 
+def base_findings(text):
+    return sorted((m.start(), order, kind, m.end()) for order, (kind, (pattern, group, least)) in enumerate(secrets.BASE.items())
+                  for m in re.finditer(pattern, text or "", re.A) if len(m.group(group)) >= least)
+
+
+def test_secrets_equal_brute_force(spark):
+    rng = random.Random(6)
+    bits = ["password=", "Token: ", "abc", "é\U0001d4b3 ", "AKIA", "ABCDEFGHIJ0123456789", " ", "deadbeef01234567", "secret='",
+            "api_key:", "0123456789abcdef", "x" * 700, "https://a.b/c ", "user=", "pwd=", "\n", "bobbb"]
+    rows = [(i, "".join(rng.choice(bits) for _ in range(rng.randint(0, 40)))) for i in range(200)] + [(900, None), (901, "")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    new = {r["doc_id"]: r["text"] for r in secrets.masked(frame).collect()}
+    for r in secrets.found(frame).collect():
+        text = dict(rows)[r["doc_id"]]
+        assert [tuple(x) for x in r["_base"]] == base_findings(text)
+        out, at = [], 0
+        for span in r["_spans"]:
+            if span["start"] >= at:
+                out.append(text[at:span["start"]] + "[SECRET]")
+            at = max(at, span["end"])
+        assert new[r["doc_id"]] == ("".join(out) + text[at:] if out else text)
+    assert secrets.found(frame.limit(0)).count() == secrets.masked(frame.limit(0)).count() == 0
+
+
+def test_many_secrets_in_one_text(spark):
+    n = 40_000
+    frame = spark.createDataFrame([(1, "password=abcdefg1 é " * n)], "doc_id long, text string")
+    assert secrets.found(frame).select(secrets.F.size("_spans")).first()[0] == n
+    assert secrets.masked(frame).first()["text"] == "[SECRET] é " * n
+
+
 def test_licenses(spark):
     notice = licenses.NOTICES["bsd"].replace("binary", "some binary")
     rows = [(1, f"x {notice} Apache-License CC by"), (2, None), (3, ""), (3, ""), (4, "mit"), (5, "GNU general public license " * 500)]

@@ -18,9 +18,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tidemark.llm.common import table
+from tidemark.llm.common import bound, running, table
 
 SCOPE = 200
+PIECE = 1024
 
 # Pattern, group that holds the value, least length of that group.
 BASE = {
@@ -45,20 +46,20 @@ SPAN = "array<struct<start:int,place:int,kind:string,end:int>>"
 def spans(text: Column, kind: str) -> Column:
     """All matches of a kind: what lies between matches and the matches themselves add up to the places."""
     pattern, group, least = (BASE | WEAK)[kind]
-    between = F.split(text, pattern, -1)
-    whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    value = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    lengths = F.arrays_zip(F.transform(between, F.length).alias("gap"), F.transform(whole, F.length).alias("size"),
-                           F.transform(value, F.length).alias("value"))
-    none = F.array().cast(SPAN)
-    walked = F.aggregate(
-        lengths, F.struct(F.lit(0).alias("at"), none.alias("found")),
-        lambda a, x: F.struct(
-            (a["at"] + x["gap"] + F.coalesce(x["size"], F.lit(0))).alias("at"),
-            F.when(F.coalesce(x["value"], F.lit(0)) >= least, F.concat(a["found"], F.array(F.struct(
-                (a["at"] + x["gap"]).alias("start"), F.lit(ORDER.index(kind)).alias("place"), F.lit(kind).alias("kind"),
-                (a["at"] + x["gap"] + x["size"]).alias("end"))).cast(SPAN))).otherwise(a["found"]).alias("found")))
-    return F.when(text.rlike(pattern), walked["found"]).otherwise(none)
+    between = F.transform(F.split(text, pattern, -1), F.length)
+    whole = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.length)
+    value = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), F.length)
+
+    def placed(gaps: Column, sizes: Column) -> Column:
+        steps = F.zip_with(gaps, sizes, lambda gap, size: gap + F.coalesce(size, F.lit(0)))
+        rows = F.arrays_zip(running(steps, F.lit(0), lambda a, x: a + x).alias("at"), gaps.alias("gap"),
+                            sizes.alias("size"), value.alias("value"))
+        return F.transform(F.filter(rows, lambda x: x["value"] >= least), lambda x: F.struct(
+            (x["at"] + x["gap"]).alias("start"), F.lit(ORDER.index(kind)).alias("place"), F.lit(kind).alias("kind"),
+            (x["at"] + x["gap"] + x["size"]).alias("end"))).cast(SPAN)
+
+    return F.when(text.rlike(pattern), bound(between, lambda gaps: bound(whole, lambda sizes: placed(gaps, sizes)))
+                  ).otherwise(F.array().cast(SPAN))
 
 
 def linked(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
@@ -98,12 +99,20 @@ def listed(column: str) -> Column:
 
 def masked(docs: DataFrame, scope: int = SCOPE, mask: str = "[SECRET]") -> DataFrame:
     """``docs`` with each span, or run of overlapping spans, replaced by ``mask``; ``n_chars`` follows the new text."""
-    walked = F.aggregate(
-        "_spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda a, s: F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.when(
-            s["start"] >= a["at"], F.concat(a["out"], F.col("text").substr(a["at"] + 1, s["start"] - a["at"]), F.lit(mask)))
-            .otherwise(a["out"]).alias("out")),
-        lambda a: F.concat(a["out"], F.col("text").substr(a["at"] + 1, F.length("text"))))
+    # A place in a long text is found by walking to it, so pieces are taken from blocks of PIECE code points.
+    def piece(blocks: Column, start: Column, end: Column) -> Column:
+        first, last = (F.floor(x / PIECE).cast("int") for x in (start, end))
+        near = F.array_join(F.slice(blocks, first + 1, last - first + 1), "")
+        return F.when(end > start, F.substring(near, start % PIECE + 1, end - start)).otherwise("")
+
+    def replaced(blocks: Column) -> Column:
+        ends = F.transform("_spans", lambda s: s["end"])
+        before = running(ends, F.lit(0), F.greatest)
+        parts = F.zip_with("_spans", before, lambda s, at: F.when(
+            s["start"] >= at, F.concat(piece(blocks, at, s["start"]), F.lit(mask))).otherwise(""))
+        return F.concat(F.array_join(parts, ""), piece(blocks, F.array_max(ends), F.length("text")))
+
+    walked = bound(F.regexp_extract_all("text", F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0)), replaced)
     changed = F.size("_spans") > 0
     out = found(docs, scope).withColumn("_new", F.when(changed, walked).otherwise(F.col("text")))
     columns = {c: F.col(c) for c in docs.columns} | {"text": F.col("_new").alias("text")}
