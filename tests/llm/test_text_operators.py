@@ -324,6 +324,18 @@ def test_names_never_empty_a_page(spark):
     assert [out[20 + i] for i in range(5)] == [f"Text number {i} of this host" + " mind this" * (i == 2) for i in range(5)]
 
 
+@pytest.mark.parametrize("page,text", [
+    ("<article><svg-icon name=x></svg-icon><p>Body text</p></article>", "Body text"),
+    ("<article><template-card></template-card><title-bar></title-bar><p>Body</p></article>", "Body"),
+    ("<article><p title=don't>Text one</p><p>it's fine</p></article>", "Text one it's fine"),
+    ("<article><p title='a>b' id = \"c>d\">Text</p></article>", "Text"),
+    ("<article><p>a<!--> b</p><p>c<!---> d</p></article>", "a b c d"),
+    ("<article><p>a<!-- x --!> b</p></article>", "a b"),
+    ("<article><p>open " + "<a title='" * 2000, "open")])
+def test_names_quotes_and_comments(page, text):
+    assert extraction.main_text(page).startswith(text)
+
+
 def test_segments_equal_brute_force():
     import numpy as np
 

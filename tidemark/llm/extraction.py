@@ -60,8 +60,9 @@ ASIDE_WORDS = {"ad", "ads", "advert", "adverts", "advertisement", "advertising",
                "ad-banner", "ad-container", "ad-slot", "adsbygoogle"}
 NEVER_ASIDE = {"html", "body", "main", "article"}
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(" + "|".join([*RAW, "xmp"]) + r")\b[^>]*?(?:/>|>.*?(?:</\1\s*>|\Z))"
-                   r"|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S | re.I)
+# A name ends at white space, a slash or the end of its tag; only after an equals sign does a quote open a value.
+TOKEN = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<(" + "|".join([*RAW, "xmp"]) + r")(?=[\s/>])[^>]*?(?:/>|>.*?(?:</\1\s*>|\Z))"
+                   r"|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*+)>|[^<]+|<", re.S | re.I)
 ATTRIBUTE = re.compile(r"""\b(class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 
 
