@@ -2,10 +2,12 @@
 
 Inner products become distances by one more coordinate (the root of the largest squared norm less the own one). Vectors
 are projected on ``dims`` Gaussian directions; the index is dealt into parts of about ``part_rows`` vectors by a hash, and
-each part builds a kd-tree over its projections. A query visits the leaves of a part by growing projected distance and
-computes true inner products there. A squared projected distance over the squared true one follows a chi-square law, so
-the visit stops once a vector nearer than the k-th found would, with probability ``sure``, have been met. Every vector
-is indexed and every query sees every part; queries are dealt into blocks, so no task holds all of either.
+each part builds a kd-tree over its projections. A query visits the leaves of a part by growing projected distance. A
+squared projected distance over the squared true one follows a chi-square law, so a vector nearer than the k-th found
+projects, with probability ``sure``, within a radius that follows from the k-th true distance. Inside a leaf only projected
+neighbours within that radius are verified by their inner products, and the visit stops at the first leaf beyond it; the
+radius only shrinks, so all that the test asks for are verified. Every vector is indexed and every query sees every part;
+queries are dealt into blocks, so no task holds all of either.
 
 Vectors that are null, zero, hold null or non-finite components or have another length than most take no part, nor do
 rows without an id. Repeated rows are each candidates; a repeated query id is answered once. Empty tables give empty
@@ -22,11 +24,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tidemark.llm.common import table
 
-DIMS = 8
-SURE = 0.97
+DIMS = 16
+SURE = 0.95
 PART_ROWS = 16_384
-BLOCK_ROWS = 1_024
+BLOCK_ROWS = 4_096
 LEAF = 192
+STEP = 16
 SEED = 11
 
 
@@ -40,23 +43,36 @@ def chi_square(x: np.ndarray | float, dims: int) -> np.ndarray | float:
     return 1 - np.exp(-half) * total
 
 
+def radius(sure: float, dims: int) -> float:
+    """The squared radius that holds a chi-square variable with probability ``sure``."""
+    low, high = 0.0, 1.0
+    while chi_square(high, dims) < sure:
+        high *= 2
+    for _ in range(60):
+        middle = (low + high) / 2
+        low, high = (middle, high) if chi_square(middle, dims) < sure else (low, middle)
+    return high
+
+
 class KdTree:
-    """Leaves of a kd-tree over projected points: their rows and bounding boxes."""
+    """Leaves of a kd-tree over projected points: ``order`` lists the points leaf by leaf, ``ends`` where each leaf ends."""
 
     def __init__(self, points: np.ndarray, leaf: int = LEAF):
-        self.rows: list[np.ndarray] = []
+        leaves: list[np.ndarray] = []
         stack = [np.arange(len(points))]
         while stack:
             rows = stack.pop()
             if len(rows) <= leaf:
-                self.rows.append(np.sort(rows))
+                leaves.append(np.sort(rows))
                 continue
             own = points[rows]
             axis = int(np.argmax(own.max(axis=0) - own.min(axis=0)))
-            order = np.argsort(own[:, axis], kind="stable")
-            stack += [rows[order[:len(rows) // 2]], rows[order[len(rows) // 2:]]]
-        self.low = np.array([points[r].min(axis=0) for r in self.rows])
-        self.high = np.array([points[r].max(axis=0) for r in self.rows])
+            half = np.argpartition(own[:, axis], len(rows) // 2)
+            stack += [rows[half[:len(rows) // 2]], rows[half[len(rows) // 2:]]]
+        self.order = np.concatenate(leaves)
+        self.ends = np.cumsum([len(r) for r in leaves])
+        self.low = np.array([points[r].min(axis=0) for r in leaves])
+        self.high = np.array([points[r].max(axis=0) for r in leaves])
 
     def by_distance(self, query: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Leaves by their least squared distance from the query, and these distances."""
@@ -66,28 +82,47 @@ class KdTree:
         return order, distance[order]
 
 
-def nearest(tree: KdTree, ids: np.ndarray, vectors: np.ndarray, query: np.ndarray, own: int, projected: np.ndarray,
-            largest: float, k: int, dims: int, sure: float) -> tuple[np.ndarray, np.ndarray]:
-    """The k found: (ids, inner products), largest first, ties by id."""
-    order, distance = tree.by_distance(projected)
-    found_ids, found = np.empty(0, np.int64), np.empty(0)
-    base = float(query @ query) + largest
-    for leaf, gap in zip(order.tolist(), distance.tolist()):
-        if len(found) >= k:
-            true = max(base - 2 * float(found[-1]), 1e-12 * base)
-            if gap > 0 and chi_square(gap / true, dims) >= sure:
-                break
-        rows = tree.rows[leaf]
-        # Row by row in one order of addition, so that equal vectors have equal products.
-        scores = (vectors[rows] * query).sum(axis=1)
-        if len(found) >= k:
-            rows, scores = rows[scores >= found[-1]], scores[scores >= found[-1]]
-        rows, scores = rows[ids[rows] != own], scores[ids[rows] != own]
-        if len(rows):
-            found_ids, found = np.concatenate([found_ids, ids[rows]]), np.concatenate([found, scores])
+class Part:
+    """One part of the index: ids, vectors and projected points in the order of the tree's leaves."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, points: np.ndarray):
+        self.tree = KdTree(points)
+        at = self.tree.order
+        self.ids, self.vectors, self.points = ids[at], np.ascontiguousarray(vectors[at]), np.ascontiguousarray(points[at])
+        self.norms = (self.points * self.points).sum(axis=1)
+        self.rows = np.split(np.arange(len(at)), self.tree.ends[:-1])  # by leaf
+        self.verified = 0  # inner products taken, for reports
+
+    def nearest(self, query: np.ndarray, own: int, projected: np.ndarray, largest: float, k: int,
+                within: float) -> tuple[np.ndarray, np.ndarray]:
+        """The k found: (ids, inner products), largest first, ties by id."""
+        leaves, gaps = self.tree.by_distance(projected)
+        found_ids, found = np.empty(0, np.int64), np.empty(0)
+        base = float(query @ query) + largest
+        slack, shift = 1e-12 * base, float(projected @ projected)
+        reach = least = None  # squared projected radius and k-th product, once k are found
+        at, step = 0, 1
+        while at < len(leaves) and (reach is None or gaps[at] <= reach):
+            # A few leaves at a time, ever more, for the radius changes less and less.
+            rows = np.concatenate([self.rows[leaf] for leaf in leaves[at:at + step].tolist()])
+            at, step = at + step, min(2 * step, STEP)
+            if reach is not None:
+                away = self.norms[rows] + shift - 2 * (self.points[rows] @ projected)
+                rows = rows[away <= reach]
+            self.verified += len(rows)
+            if least is not None:  # a quick product first; what may count is added up in one order, so equal vectors tie
+                rows = rows[self.vectors[rows] @ query >= least - slack]
+            rows = rows[self.ids[rows] != own]
+            if not len(rows):
+                continue
+            scores = (self.vectors[rows] * query).sum(axis=1)
+            found_ids, found = np.concatenate([found_ids, self.ids[rows]]), np.concatenate([found, scores])
             best = np.lexsort((found_ids, -found))[:k]
             found_ids, found = found_ids[best], found[best]
-    return found_ids, found
+            if len(found) == k:
+                least = float(found[-1])
+                reach = within * max(base - 2 * least, slack) * (1 + 1e-9) + slack
+        return found_ids, found
 
 
 def usable(frame: DataFrame, id_column: str, vector: str) -> DataFrame:
@@ -112,6 +147,7 @@ def nearest_neighbours(frame: DataFrame, is_query: Column, k: int = 20, id_colum
     blocks = max(1, math.ceil((facts["queries"] or 0) / block_rows))
     size, largest = facts["size"] or 1, (facts["largest"] or 1.0) * (1 + 1e-12)
     directions = np.random.default_rng(SEED).normal(size=(size + 1, dims))
+    within = radius(sure, dims)
 
     def pick(numbers: int, salt: int) -> Column:
         return F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(numbers)).cast("int")
@@ -128,13 +164,13 @@ def nearest_neighbours(frame: DataFrame, is_query: Column, k: int = 20, id_colum
         out: dict = {"query_id": [], "vec_id": [], "score": []}
         if len(at) and len(known):
             order = np.argsort(known, kind="stable")
-            known, vectors_in = known[order], np.ascontiguousarray(vectors_in[order])
+            known, vectors_in = known[order], vectors_in[order]
             extra = np.sqrt(np.maximum(0.0, largest - (vectors_in * vectors_in).sum(axis=1)))
-            tree = KdTree(np.column_stack([vectors_in, extra]) @ directions)
+            part = Part(known, vectors_in, np.column_stack([vectors_in, extra]) @ directions)
             asked = vectors[asks]
             projected = np.column_stack([asked, np.zeros(len(asked))]) @ directions
             for own, query, place in zip(at.tolist(), asked, projected):
-                found, scores = nearest(tree, known, vectors_in, query, own, place, largest, k, dims, sure)
+                found, scores = part.nearest(query, own, place, largest, k, within)
                 out["query_id"] += [own] * len(found)
                 out["vec_id"] += found.tolist()
                 out["score"] += scores.tolist()
