@@ -6,6 +6,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, decontamination, extraction, licenses, near_duplicates, quality, secrets, substrings, toxicity
 from tidemark.llm.common import words_of
@@ -87,6 +88,16 @@ def test_contamination_equals_brute_force(spark, docs, texts):
             c = r["contamination"]
             assert c["n_words"] == len(w) and c["items"] == sorted(met)
             assert {p for a, b in c["spans"] for p in range(a, b)} == hit
+    dealt, blocks = decontamination.item_blocks(bench.union(bench), 20)
+    sizes = {}
+    for r in dealt.collect():
+        sizes.setdefault(r["block"], []).append(len(words_of(r["text"])))
+    assert len(sizes) == blocks > 1 and sum(map(len, sizes.values())) == 5
+    assert all(sum(n) <= 20 or len(n) == 1 for n in sizes.values())
+    clash = docs.withColumn("contamination", F.lit("x"))
+    one, many = (decontamination.contamination(clash, bench, block_words=n).orderBy("doc_id", "text").collect()
+                 for n in (decontamination.BLOCK_WORDS, 20))
+    assert one == many
     kept = {r["doc_id"]: r["text"] for r in decontamination.decontaminated(docs.where("doc_id <> 12"), bench).collect()}
     assert 7 not in kept and kept[4] is None and kept[9] == dict(texts)[9]
     assert decontamination.contamination(docs, bench.limit(0)).where("size(contamination.spans) > 0").count() == 0

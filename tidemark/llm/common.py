@@ -14,6 +14,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 WORD_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32
                    for c in range(256))
 
+# The same for Spark's functions.
+NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
 SLICE_BYTES = 4 << 20
 BATCH_BYTES = "8m"
 

@@ -1,9 +1,12 @@
 """Benchmark decontamination with a generalised suffix automaton of the test items.
 
-Items are normalised to words and dealt into blocks of at most ``block_words`` words, so that one automaton has a size
-bound whatever the size of the benchmark. A block's automaton travels with the tasks; every document streams its words
-through it, tracking the longest suffix that is a passage of an item. Where that length reaches ``min_words``, or a
-whole shorter item, the covered words are hit. Hits of several blocks are united per document.
+Spark deals the distinct items by hash into blocks of at most ``block_words`` words (an item beyond that stands alone), so
+one automaton has a size bound whatever the size of the benchmark. Each block is one pass over the documents: its items
+travel with the tasks, a Python process builds the automaton once, and every document streams its words through it,
+tracking the longest suffix that is a passage of an item. Where that length reaches ``min_words``, or a whole shorter
+item, the covered words are hit. Passes are jobs of their own: the hits of each, by the digest of the text, are written
+to the shared folder before the next one starts, so driver and tasks hold one block at a time. A benchmark of one block
+needs no digest and no join.
 
 A removal takes the hit spans out of the text, or drops the document when its covered share exceeds ``max_coverage``.
 Null and empty texts have no words and are never hit; items without words never occur; repeated rows are each judged;
@@ -14,14 +17,18 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from uuid import uuid4
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm.common import arrow_schema, table, words_of
+from tidemark.llm.common import LOWER, NOT_WORD, UPPER, arrow_schema, map_slices, table, words_of
+from tidemark.session import stored
 
 MIN_WORDS = 10
 BLOCK_WORDS = 500_000
+CELLS = 16
 WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 
 
@@ -137,58 +144,112 @@ def scan(machine: SuffixAutomaton, text: str | None) -> tuple[int, list[list[int
     return len(words), spans, found
 
 
-def item_blocks(items: DataFrame, block_words: int = BLOCK_WORDS) -> list[list[tuple[object, list[bytes]]]]:
-    """The items as lists of at most ``block_words`` words (an item beyond that stands alone), read one after another.
+def item_blocks(items: DataFrame, block_words: int = BLOCK_WORDS) -> tuple[DataFrame, int]:
+    """(block, item, text) of the distinct items with words, written to the shared folder, and the number of blocks.
 
-    Only items are read here, never documents; what is held for one pass over the documents is one block.
+    Items are dealt by hash into cells, ever more until each holds at most ``block_words`` words or a single item;
+    neighbouring cells are then put together. The driver sees the sizes of cells only, about ``CELLS`` a block.
     """
-    blocks: list[list] = []
-    size = 0
-    for row in items.select("item_id", "text").toLocalIterator():
-        words = words_of(row["text"])
-        if not words:
-            continue
-        if not blocks or size + len(words) > block_words:
-            blocks.append([])
+    marked = F.translate(F.coalesce("text", F.lit("")), UPPER, LOWER)
+    rows = (items.select(F.col("item_id").cast("string").alias("item"), "text",
+                         F.size(F.array_remove(F.split(marked, NOT_WORD, -1), "")).alias("n"))
+            .where("n > 0").dropDuplicates(["item", "text"]))
+    rows = stored(rows.withColumn("_at", F.xxhash64("item", "text")), "benchmark-items")
+    total = rows.agg(F.sum("n")).first()[0] or 0
+    cells = 1 if total <= block_words else CELLS * -(-total // block_words)
+    while True:
+        cell = F.pmod("_at", F.lit(cells))
+        sizes = rows.groupBy(cell.alias("cell")).agg(F.sum("n").alias("n"), F.countDistinct("_at").alias("places")).collect()
+        if all(r["n"] <= block_words or r["places"] == 1 for r in sizes):
+            break
+        cells *= 2
+    starts, size = [0], 0
+    for r in sorted(sizes, key=lambda r: r["cell"]):
+        if size and size + r["n"] > block_words:
+            starts.append(r["cell"])
             size = 0
-        blocks[-1].append((str(row["item_id"]), words))
-        size += len(words)
-    return blocks
+        size += r["n"]
+    block = F.size(F.filter(F.array(*map(F.lit, starts)), lambda s: s <= cell)) - 1
+    return stored(rows.select(block.alias("block"), "item", "text"), "benchmark-blocks"), len(starts)
 
 
 def contamination(docs: DataFrame, items: DataFrame, min_words: int = MIN_WORDS,
                   block_words: int = BLOCK_WORDS, keep_text: bool = True,
                   name: str = "contamination") -> DataFrame:
     """All rows and columns of ``docs`` with column ``name``: n_words, spans (word offsets) and items (sorted texts)."""
-    spark = docs.sparkSession
-    out = docs
+    dealt, blocks = item_blocks(items, block_words)
+    if blocks == 1:
+        return _last_block(docs, _sent(dealt, 0), min_words, name, keep_text, False)
+    key = "_digest_of_text"
+    texts = docs.select(F.md5("text").alias(key), "text").where("text IS NOT NULL")
+    hits = None
+    for block in range(blocks - 1):
+        found = stored(_hits(texts, _sent(dealt, block), min_words, key).dropDuplicates([key]), "benchmark-hits")
+        hits = found if hits is None else hits.union(found)
+    # A text has at most one row a block here. Documents without text get keys that match nothing.
+    known = hits.groupBy(key).agg(F.struct(F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(
+        F.flatten(F.collect_list("items"))).alias("items")).alias(name))
+    joined = (docs.drop(name).withColumn(key, F.coalesce(F.md5("text"), F.concat(F.lit("null "), F.col("doc_id").cast("string")), F.lit("null")))
+              .join(known, key, "left").drop(key))
+    return _last_block(joined, _sent(dealt, blocks - 1), min_words, name, keep_text, True)
+
+
+def _sent(dealt: DataFrame, block: int) -> tuple[str, Broadcast]:
+    """One block of items for the tasks, with a name of its own."""
+    rows = [(r["item"], words_of(r["text"])) for r in dealt.where(F.col("block") == block).collect()]
+    return uuid4().hex, dealt.sparkSession.sparkContext.broadcast(rows)
+
+
+_built: dict[tuple, SuffixAutomaton] = {}
+
+
+def machine_of(sent: tuple[str, Broadcast], min_words: int) -> SuffixAutomaton:
+    """The automaton of a block; a process keeps that of the last block it saw."""
+    key = sent[0], min_words
+    if key not in _built:
+        _built.clear()
+        _built[key] = SuffixAutomaton(sent[1].value, min_words)
+    return _built[key]
+
+
+def _hits(texts: DataFrame, sent: tuple[str, Broadcast], min_words: int, key: str) -> DataFrame:
+    """The key, spans and items of the texts that hold a passage of one block."""
+    schema = f"{key} string, spans array<array<int>>, items array<string>"
+
+    def run(batch: dict) -> dict:
+        machine = machine_of(sent, min_words)
+        out: dict = {key: [], "spans": [], "items": []}
+        for digest, text in zip(batch[key], batch["text"]):
+            _, spans, items = scan(machine, text)
+            if spans:
+                out[key].append(digest)
+                out["spans"].append(spans)
+                out["items"].append(sorted(items))
+        return out
+
+    return map_slices(texts, run, schema)
+
+
+def _last_block(docs: DataFrame, sent: tuple[str, Broadcast], min_words: int, name: str, keep_text: bool,
+                known: bool) -> DataFrame:
+    """Add the hits of the last block, united with those of earlier blocks where ``docs`` has them as ``name`` (``known``)."""
     kind = "struct<n_words:bigint,spans:array<array<int>>,items:array<string>>"
-    blocks = item_blocks(items, block_words) or [[]]
-    for i, block in enumerate(blocks):
-        last = i == len(blocks) - 1
-        out = _one_block(out, spark.sparkContext.broadcast(block), min_words, name, kind,
-                         keep_text or not last, i > 0)
-    return out
-
-
-def _one_block(docs: DataFrame, block, min_words: int, name: str, kind: str, keep_text: bool, known: bool) -> DataFrame:
-    """Add the hits of one block, united with those of earlier blocks if these are ``known``."""
     left = {name} if keep_text else {name, "text"}
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name not in left)
-    schema = f"{fields}, `{name}` {kind}"
+    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema if f.name not in left)
+    schema = f"{fields}`{name}` {kind}"
     target = arrow_schema(docs.sparkSession, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = None
         for batch in batches:
-            machine = machine or SuffixAutomaton(block.value, min_words)
-            before = batch.column(batch.schema.get_field_index(name)).to_pylist() if known else None
+            machine = machine_of(sent, min_words)
+            texts = batch.column(batch.schema.get_field_index("text"))
+            before = batch.column(batch.schema.get_field_index(name)).to_pylist() if known else [None] * len(texts)
             found = []
-            for i, text in enumerate(batch.column(batch.schema.get_field_index("text")).to_pylist()):
-                n, spans, items = scan(machine, text)
-                if before:
-                    spans = united(before[i]["spans"] + spans)
-                    items |= set(before[i]["items"])
+            for text, earlier in zip(texts, before):
+                n, spans, items = scan(machine, text.as_py())
+                if earlier:
+                    spans = united(earlier["spans"] + spans)
+                    items |= set(earlier["items"])
                 found.append({"n_words": n, "spans": spans, "items": sorted(items)})
             columns = [batch.column(i).cast(target.field(f).type) for i, f in enumerate(batch.schema.names)
                        if f not in left]
