@@ -292,6 +292,20 @@ def test_licenses(spark):
     assert by[2]["n_words"] == by[4]["n_base"] == 0 and by[4]["score"] == 0.0 and by[3]["first_word"] is None
 
 
+def test_many_phrases_in_one_text(spark):
+    n, notice = 60_000, licenses.NOTICES["bsd"]
+    frame = spark.createDataFrame([(1, "GNU general public license " * n + f"{notice} stop " * 40)] * 2 + [(None, "mit license")],
+                                  "doc_id long, text string").withColumn("hash", F.lit("x"))
+    out = licenses.licenses(frame).collect()
+    assert len(out) == 3 and sorted(r["n_base"] for r in out) == [1, n, n]
+    long = next(r for r in out if r["doc_id"] == 1)
+    assert long["last_word"] == 4 * (n - 1) and long["labels"] == "bsd,gpl" and len(long["spans"]) == 40
+    size = len(notice.split())
+    assert [(s["first"], s["end"]) for s in long["spans"]] == [
+        (4 * n + i * (size + 1), 4 * n + i * (size + 1) + size) for i in range(40)]
+    assert licenses.licenses(frame.limit(0)).count() == 0
+
+
 def test_extraction(spark):
     page = ('<html><head><title>t</title><script>if (a < b) "</p>"</script></head><body><nav><a href=/>Menu</a></nav>'
             '<div class="ad">Buy</div><article><h1>Head &amp; more</h1><p>One <b>t</b>wo<br>three<p>four<aside>no</aside>'

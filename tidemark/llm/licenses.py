@@ -12,14 +12,12 @@ results. Further columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from tidemark.llm.common import table
+from tidemark.llm.common import LOWER, NOT_WORD, UPPER, bound, table
 
 DRIFT = 3
 COVERAGE = 0.7
-NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 # Phrases with their labels, then the openings of public licence notices (at most 64 words each).
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
@@ -57,7 +55,9 @@ def templates(spark: SparkSession, phrases: dict[str, str], notices: dict[str, s
     """hash, place, template, label, phrase, n_runs."""
     rows = [(i, text, label, i < len(phrases)) for i, (text, label) in enumerate(
         [*phrases.items(), *((t, l) for l, t in notices.items())])]
-    texts = spark.createDataFrame(rows, "template int, body string, label string, phrase boolean")
+    texts = spark.range(1).select(F.inline(F.array(*(F.struct(
+        F.lit(i).alias("template"), F.lit(text).alias("body"), F.lit(label).alias("label"), F.lit(phrase).alias("phrase"))
+        for i, text, label, phrase in rows))))
     own = texts.select("template", "label", "phrase", runs(words(F.col("body"))).alias("h"))
     table_ = own.select("template", "label", "phrase", F.size("h").alias("n_runs"), F.posexplode("h").alias("place", "hash"))
     end = spark.range(1).select(F.lit(-1).alias("template"), F.lit("").alias("label"), F.lit(False).alias("phrase"),
@@ -66,62 +66,58 @@ def templates(spark: SparkSession, phrases: dict[str, str], notices: dict[str, s
 
 
 def diagonals(docs: DataFrame, phrases: dict[str, str] = PHRASES, notices: dict[str, str] = NOTICES) -> DataFrame:
-    """Per document (doc_id, text hash): n_words, copies (equal rows) and its diagonals with votes."""
-    split = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), words(F.col("text")).alias("w"))
-    every = split.select("doc_id", "text_hash", F.size("w").cast("long").alias("n_words"),
-                         F.posexplode(F.concat(runs(F.col("w")), F.array(F.lit(LAST).cast("long")))).alias("pos", "hash"))
+    """The diagonals of each document (doc_id, text hash) with votes, and one row of template -1 that counts equal rows."""
+    def rows_of(w: Column) -> Column:
+        facts = F.struct(F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), F.size(w).cast("long").alias("n_words"))
+        return bound(facts, lambda f: F.transform(F.concat(runs(w), F.array(F.lit(LAST).cast("long"))), lambda x, i: F.struct(
+            f["text_hash"].alias("text_hash"), f["n_words"].alias("n_words"), i.alias("pos"), x.alias("hash"))))
+
+    # Facts of a document travel in its array: beside an explode they would be computed again for each of its rows.
+    every = docs.select("doc_id", F.inline(bound(words(F.col("text")), rows_of)))
     hits = every.join(F.broadcast(templates(docs.sparkSession, phrases, notices)), "hash")
     at = F.when(F.col("template") < 0, F.lit(0)).otherwise(F.col("pos") - F.col("place"))
-    votes = (hits.groupBy("doc_id", "text_hash", "n_words", "template", "label", "phrase", "n_runs", at.alias("diagonal"))
-             .agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("place"))).alias("votes"), F.min("pos").alias("low"),
-                  F.max("pos").alias("high"), F.count("*").alias("rows")))
-    is_end = F.col("template") < 0
-    return votes.groupBy("doc_id", "text_hash", "n_words").agg(
-        F.sum(F.when(is_end, F.col("rows"))).alias("copies"),
-        F.array_sort(F.collect_list(F.when(~is_end, F.struct(
-            "template", "diagonal", "votes", "low", "high", "label", "phrase", "n_runs")))).alias("diagonals"))
-
-
-def merged(column: str) -> Column:
-    """Notice diagonals, neighbours of one template joined: array of template, votes, low, high, label, n_runs, last."""
-    kind = "array<struct<template:int,votes:bigint,low:int,high:int,label:string,n_runs:int,last:int>>"
-    fresh = lambda d: F.struct(d["template"], d["votes"], d["low"], d["high"], d["label"], d["n_runs"],
-                               d["diagonal"].alias("last"))
-
-    def step(found: Column, d: Column) -> Column:
-        n = F.size(found)
-        last = F.element_at(found, F.greatest(n, F.lit(1)))
-        near = (n > 0) & (last["template"] == d["template"]) & (d["diagonal"] - last["last"] <= DRIFT)
-        joined = F.struct(last["template"].alias("template"), last["votes"].bitwiseOR(d["votes"]).alias("votes"),
-                          F.least(last["low"], d["low"]).alias("low"), F.greatest(last["high"], d["high"]).alias("high"),
-                          last["label"].alias("label"), last["n_runs"].alias("n_runs"), d["diagonal"].alias("last"))
-        return F.when(near, F.concat(F.slice(found, F.lit(1), n - 1), F.array(joined)).cast(kind)).otherwise(
-            F.concat(found, F.array(fresh(d))).cast(kind))
-
-    # A single stray run is no neighbour worth keeping: it cannot reach the coverage, nor add more than its bit.
-    notices = F.filter(column, lambda d: ~d["phrase"] & (F.bit_count(d["votes"]) > 1))
-    return F.aggregate(notices, F.array().cast(kind), step)
+    return (hits.groupBy("doc_id", "text_hash", "n_words", "template", "label", "phrase", "n_runs", at.alias("diagonal"))
+            .agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("place"))).alias("votes"),
+                 F.min("pos").alias("low"), F.max("pos").alias("high"), F.count("*").alias("rows")))
+
+
+def merged(votes: DataFrame) -> DataFrame:
+    """Diagonals of one template and document, numbered (``island``) so that neighbours within ``DRIFT`` share a number.
+
+    Only diagonals of several votes are neighbours of each other (``strong``).
+    """
+    along = Window.partitionBy("doc_id", "text_hash", "template", "strong").orderBy("diagonal")
+    apart = F.col("diagonal") - F.lag("diagonal").over(along) > DRIFT
+    return (votes.withColumn("strong", F.bit_count("votes") > 1).withColumn("_apart", F.coalesce(apart, F.lit(False)).cast("int"))
+            .withColumn("island", F.sum("_apart").over(along)).drop("_apart"))
 
 
 def licenses(docs: DataFrame, phrases: dict[str, str] = PHRASES, notices: dict[str, str] = NOTICES,
              coverage: float = COVERAGE) -> DataFrame:
     """Per row of ``docs``: n_words, n_base, first_word, last_word, base_labels, labels, score, spans (verified notices)."""
-    found = diagonals(docs, phrases, notices).withColumn("notices", merged("diagonals")).withColumn(
-        "base", F.filter("diagonals", lambda d: d["phrase"] & (F.bit_count(d["votes"]) == d["n_runs"])))
-    share = lambda d: F.bit_count(d["votes"]) / d["n_runs"]
-    whole = F.filter("notices", lambda d: (share(d) >= coverage) & (d["high"] - d["low"] <= 2 * d["n_runs"]))
-    base_labels = F.transform("base", lambda d: d["label"])
-    starts = F.transform("base", lambda d: d["diagonal"].cast("long"))
-    own = F.transform("verified", lambda d: d["label"])
-    best = F.coalesce(F.array_max(F.transform("notices", share)), F.lit(0.0))
-    joined = lambda c: F.array_join(F.array_sort(F.array_distinct(c)), ",")
-    return (found.withColumn("verified", whole).select(
-        "doc_id", "n_words", F.size("base").cast("long").alias("n_base"), F.array_min(starts).alias("first_word"),
-        F.array_max(starts).alias("last_word"), joined(base_labels).alias("base_labels"),
-        joined(F.concat(base_labels, own)).alias("labels"),
-        F.when(F.size("base") > 0, F.lit(1.0)).otherwise(F.least(best, F.lit(1.0))).alias("score"),
-        F.transform("verified", lambda d: F.struct(d["label"], d["low"].alias("first"), (d["high"] + 2).alias("end")))
-        .alias("spans"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("_copy")).drop("_copy"))
+    # All rows of a document in one place: the steps below need no further shuffle, and sort instead of growing arrays.
+    votes = diagonals(docs, phrases, notices).repartition("doc_id", "text_hash")
+    document = ["doc_id", "text_hash", "n_words"]
+    is_end, whole = F.col("template") < 0, F.col("phrase") & (F.bit_count("votes") == F.col("n_runs"))
+    start = F.when(whole, F.col("diagonal").cast("long"))
+    notice = ~is_end & ~F.col("phrase") & F.col("strong")
+    islands = merged(votes).groupBy(*document, "template", "label", "n_runs", F.when(notice, F.col("island")).alias("island")).agg(
+        F.sum(F.when(is_end, F.col("rows"))).alias("copies"), F.count(start).alias("places"), F.min(start).alias("first_word"),
+        F.max(start).alias("last_word"), F.bit_or(F.when(notice, F.col("votes"))).alias("votes"),
+        F.min(F.when(notice, F.col("low"))).alias("low"), F.max(F.when(notice, F.col("high"))).alias("high"))
+    share = F.bit_count("votes") / F.col("n_runs")
+    verified = (share >= coverage) & (F.col("high") - F.col("low") <= 2 * F.col("n_runs"))
+    joined = lambda c: F.array_join(F.array_sort(F.collect_set(F.when(c, F.col("label")))), ",")
+    based = F.col("places") > 0
+    found = islands.groupBy(*document).agg(
+        F.sum("copies").alias("copies"), F.sum("places").alias("n_base"), F.min("first_word").alias("first_word"),
+        F.max("last_word").alias("last_word"), joined(based).alias("base_labels"), joined(based | verified).alias("labels"),
+        F.when(F.sum("places") > 0, F.lit(1.0)).otherwise(F.least(F.coalesce(F.max(share), F.lit(0.0)), F.lit(1.0))).alias("score"),
+        F.array_sort(F.collect_list(F.when(verified, F.struct("template", "low", "label", "high")))).alias("spans"))
+    return found.select(
+        "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score",
+        F.transform("spans", lambda d: F.struct(d["label"], d["low"].alias("first"), (d["high"] + 2).alias("end"))).alias("spans"),
+        F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("_copy")).drop("_copy")
 
 
 def op8_licenses(spark: SparkSession, folder: str) -> DataFrame:
