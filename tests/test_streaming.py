@@ -329,3 +329,33 @@ def test_recent_prunes_days(spark, tmp_path):
     store.readings.write(0, rows.select(*store.readings.schema.fieldNames()), "device")
     plan = history.recent(store.readings.read(), datetime(2024, 1, 6))._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(day" in plan
+
+
+def test_timers_need_no_module_path(tmp_path):
+    """The driver's worker for the state processor does not look among the files added to a session."""
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+    (tmp_path / "processor").write_bytes(cloudpickle.dumps(handshake.handshake_processor()))
+    code = "import sys; from pyspark import cloudpickle; cloudpickle.load(open('processor', 'rb')); assert 'tidemark' not in sys.modules"
+    subprocess.run([sys.executable, "-I", "-c", code], cwd=tmp_path, check=True)
+
+
+def test_timers_whatever_state_store_the_session_names(spark, tmp_path):
+    other = "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider"
+    was = spark.conf.get(handshake.STATE_STORE)
+    at = lambda s: datetime(2024, 1, 1, 0, 0, s)
+    source, schema = str(tmp_path / "events"), "conn_key long, ts timestamp, event string"
+    rows = [(1, at(0), "open"), (1, at(1), "good"), (2, at(0), "open"), (2, at(1), "bad"), (2, at(1), "good"), (3, at(0), "open"),
+            (3, at(20), "good"), (4, at(0), "open"), (4, at(2), "good"), (4, at(1), "bad"), (-1, datetime(2030, 1, 1), "clock")]
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(source)
+    spark.conf.set(handshake.STATE_STORE, other)
+    try:
+        verdicts = handshake.handshake_verdict_stream(spark.readStream.schema(schema).parquet(source))
+        handshake.write_verdicts(verdicts, str(tmp_path / "out"), str(tmp_path / "c")).awaitTermination()
+        assert spark.conf.get(handshake.STATE_STORE) == other
+    finally:
+        spark.conf.set(handshake.STATE_STORE, was)
+    assert {(r.conn_key, r.verdict, r.decided_at) for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {
+        (1, "accepted", at(1)), (2, "accepted", at(1)), (3, "timeout", at(20)), (4, "bad_key", at(1))}

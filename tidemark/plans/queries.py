@@ -576,8 +576,8 @@ def T4_timer_stream(t):
     end = stream.raw("region").where("r_regionkey = 0").select(
         F.lit(-1).cast("long").alias("conn_key"), F.lit(now(t)).cast("timestamp").alias("ts"), F.lit("clock").alias("event"))
     events = handshake.decisive_events(stream.handshakes.select("conn_key", "opened_at"), attempts).unionByName(end)
-    (handshake.handshake_verdict_stream(events).writeStream.format("parquet").option("path", f"{folder}/verdicts")
-     .option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination())
+    verdicts = handshake.handshake_verdict_stream(events)
+    handshake.write_verdicts(verdicts, f"{folder}/verdicts", f"{folder}/checkpoint").awaitTermination()
     return t.spark.read.parquet(f"{folder}/verdicts").select("conn_key", "verdict", F.col("decided_at").cast("timestamp_ntz").alias("decided_at"))
 
 
