@@ -5,6 +5,7 @@ import json
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -192,6 +193,50 @@ def test_links_and_spans_of_passages(spark):
         assert out[i].n_links == len(others) and hit <= got and len(got - hit) <= 12
 
 
+def test_near_repeats_equal_brute_force(spark):
+    # Variants of passages, of which no first document is near to all, and first documents that hold only parts of them.
+    rng = random.Random(21)
+    fill = lambda n: prose(n, rng)
+    rows = []
+    for _ in range(14):
+        passage = fill(64).split()
+        for at in range(25):  # parts that are too short to be repeats, in the smallest ids
+            rows += [(len(rows), f"{fill(25)} {' '.join(passage[at:at + 40])} {fill(25)}") for _ in range(2)]
+        group = []
+        for changed in ((), (rng.randrange(28, 36),), (3, 60))[rng.randrange(2):]:
+            words = list(passage)
+            for i in changed:
+                words[i] = fill(1)
+            group.append(f"{fill(rng.randrange(30))} {' '.join(words)} {fill(rng.randrange(30))}")
+        rows += [(1000 + len(rows) * 10 + i, t) for i, t in enumerate(group)]
+    width = substrings.MIN_WORDS - substrings.RUN + 1
+    runs = {i: substrings.run_hashes(substrings.word_hashes(words_of(t)), substrings.RUN) for i, t in rows}
+
+    sets = {i: set(r.tolist()) for i, r in runs.items()}
+
+    def near(a, b):
+        if len(sets[a] & sets[b]) <= substrings.SIMILARITY * width:
+            return False
+        found = toxicity.segments(substrings.scores(np.isin(runs[a], runs[b]), substrings.SIMILARITY))
+        return any(end - start >= width for _, start, end in found)
+
+    links = {(a, b) for a in runs for b in runs if a < b and (near(a, b) or near(b, a))}
+    least = dict.fromkeys(runs)
+    for i in sorted(runs):  # the smallest id that links lead to
+        if least[i] is None:
+            todo = [i]
+            while todo:
+                j = todo.pop()
+                if least[j] is None:
+                    least[j] = i
+                    todo += [x + y - j for x, y in links if j in (x, y)]
+    out = {r.doc_id: r for r in substrings.substring_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i: r.class_id for i, r in out.items()} == least
+    found = substrings.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string"))[0].collect()
+    assert {(r.other, r.doc) for r in found} <= links and len(links) > 20
+    assert all(out[i].n_links >= sum(i in pair for pair in links) for i in runs)
+
+
 def test_link_counts_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(substrings, "BLOCK", 3)
     rng = random.Random(12)
