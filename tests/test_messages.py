@@ -118,3 +118,25 @@ def test_repeated_keys_need_the_setting(spark):
         assert fields(spark, '{"var":"a","val":1,"val":2}')[0].value == "2"
     finally:
         spark.conf.set(setting, before)
+
+
+def test_flat_texts_are_parsed_like_all_others(spark):
+    """Texts around the short cut of ``parse`` against its rule: a value as a member and as the only array item."""
+    raws = ['{"a":1}', "{}", '{"a":1}}', '{"a":1} x', '{"a":1},"m":{"b":2}', '{"a":1},{"b":2}', ' {"a":1}', '{"a":1}\n',
+            '{"a":"}"}', '{"a":"x}', '{"a":"x\\"}', '{"a":"{"}', '{"a":{"b":1}', '{"a":{"b":1}}', '{"a":[1}', '{"a":[1]}',
+            '{"a":1', "{a}", "{}}", "}", "{", "null", " null ", "1}", "1", "[1]", "[1]]", '"x"', "", " ", None]
+    raw = F.col("raw")
+    member = F.try_parse_json(F.concat(F.lit('{"m":'), raw, F.lit("}")))
+    single = F.json_array_length(F.concat(F.lit("["), raw, F.lit("]"))) == 1
+    rule = F.when((F.btrim(raw, F.lit(" \t\r\n")) != "null") & single, member)
+    rows = spark.createDataFrame([(r,) for r in raws], "raw string").select(
+        "raw", F.to_json(payload.parse(raw)).alias("got"), F.to_json(rule).alias("want")).collect()
+    assert [(r.raw, r.got) for r in rows] == [(r.raw, r.want) for r in rows]
+    assert sum(r.got is not None for r in rows) == 11
+
+
+def test_fields_are_found_in_one_walk(spark):
+    rows = spark.createDataFrame([('{"var":"a","val":1}',)], "raw string")
+    for frame in (payload.payload_fields(rows, "raw", "var", "val", "type"),
+                  payload.compute_once(rows, {"head": payload.frame_head(payload.parse(F.col("raw")))})):
+        assert frame._jdf.queryExecution().optimizedPlan().toString().count("try_variant_get") == 1

@@ -113,3 +113,14 @@ def test_offline_note_follows_the_time(spark):
     placed = jobs.decided(batch, devices, connections, "dashboard")
     assert {r["msg_id"]: (r["n_sent"], r["message"] is None) for r in routing.command_acks(
         ingest.new_commands(placed)).collect()} == {0: (0, False), 1: (2, True), 2: (1, True), 3: (0, False), 4: (0, False)}
+
+
+def test_connections_are_reduced_in_one_shuffle(spark):
+    connections, _ = random_rows(4)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        steps = presence.presence_steps(spark.createDataFrame(connections, CONNECTIONS), START, START + timedelta(hours=9), 1)
+        plan = steps._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert "ReusedExchange" in plan and plan.count("Scan") == 1

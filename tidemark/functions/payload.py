@@ -23,15 +23,18 @@ def parse(raw: Column) -> Column:
 
     The parser stops after the first value, so ``{"a":1} x`` would pass. Wrapping the text as an
     object member and as the only array item leaves trailing text no way to stay valid JSON. The
-    member is kept as ``$.m``; :func:`field` reads below it.
+    member is kept as ``$.m``; :func:`fields` reads below it. A text that starts with a brace and ends with its only
+    closing one cannot close the wrapper, so the costlier look as an array is left to all others.
     """
     member = F.try_parse_json(F.concat(F.lit('{"m":'), raw, F.lit("}")))
+    flat = raw.startswith("{") & (F.instr(raw, "}") == F.char_length(raw))
     single = F.json_array_length(F.concat(F.lit("["), raw, F.lit("]"))) == 1
-    return F.when((F.btrim(raw, F.lit(" \t\r\n")) != "null") & single, member)
+    return F.when(flat | ((F.btrim(raw, F.lit(" \t\r\n")) != "null") & single), member)
 
 
-def field(document: Column, name: str, kind: str = "variant") -> Column:
-    return F.try_variant_get(document, f"$.m.{name}", kind)
+def fields(document: Column, names: tuple[str, ...], kind: str = "variant") -> Column:
+    """Struct of the named fields, found in one walk over the document; NULL when it is no object."""
+    return F.try_variant_get(document, "$.m", f"struct<{', '.join(f'`{n}`: {kind}' for n in names)}>")
 
 
 def present(value: Column) -> Column:
@@ -103,8 +106,8 @@ def payload_fields(messages: DataFrame, raw: str, *names: str) -> DataFrame:
     """Add ``is_json`` and the named payload fields as variants ``_name``."""
     allow_repeated_keys(messages.sparkSession)
     parsed = compute_once(messages, {"_document": parse(F.col(raw))})
-    fields = {f"_{n}": field(F.col("_document"), n) for n in names}
-    return compute_once(parsed, {"is_json": F.col("_document").isNotNull(), **fields}).drop("_document")
+    read = compute_once(parsed, {"is_json": F.col("_document").isNotNull(), "_fields": fields(F.col("_document"), names)})
+    return read.withColumns({f"_{n}": F.col(f"_fields.{n}") for n in names}).drop("_document", "_fields")
 
 
 def is_command_type(kind: Column) -> Column:
@@ -120,8 +123,8 @@ def with_fields(messages: DataFrame, raw: str = "raw") -> DataFrame:
     ``target_text``: the addressed device, NULL when missing, null or empty.
     """
     sources = ("var", "sensor_type", "val", "value", "type", "device_id")
-    fields = payload_fields(messages, raw, *sources)
-    chosen = compute_once(fields, {
+    known = payload_fields(messages, raw, *sources)
+    chosen = compute_once(known, {
         "_name": F.when(not_null(F.col("_var")), F.col("_var")).otherwise(F.col("_sensor_type")),
         "payload_value": F.when(present(F.col("_val")), F.col("_val")).otherwise(F.col("_value")),
     })
@@ -159,22 +162,31 @@ def auto_route(messages: DataFrame, own_device: str, raw: str = "raw") -> DataFr
 
     Adds ``auto_routed`` and ``routed_raw``; every other payload passes unchanged.
     """
-    fields = payload_fields(messages, raw, "var", "val", "type", "device_id")
+    known = payload_fields(messages, raw, "var", "val", "type", "device_id")
     kind = F.col("_type")
     routed = (present(F.col("_var")) & present(F.col("_val")) & ~present(F.col("_device_id"))
               & F.col(own_device).isNotNull() & (kind.isNull() | is_command_type(kind)))
     body = F.rtrim(F.regexp_replace(F.col(raw), r"\}\s*$", ""))
     extra = F.concat(F.when(kind.isNull(), ',"type":"command"').otherwise(""),
                      F.lit(',"device_id":'), F.col(own_device).cast("string"), F.lit("}"))
-    return (compute_once(fields, {"auto_routed": F.coalesce(routed, F.lit(False))})
+    return (compute_once(known, {"auto_routed": F.coalesce(routed, F.lit(False))})
             .withColumn("routed_raw", F.when(F.col("auto_routed"), F.concat(body, extra))
                         .otherwise(F.col(raw)))
             .drop("is_json", "_var", "_val", "_type", "_device_id"))
 
 
-def frame_class(document: Column) -> Column:
-    """Kind of a parsed server frame: ACK, ERROR, DATA, JSON, or RAW when it is not a JSON value."""
-    status, kind = field(document, "status", "string"), field(document, "type", "string")
+def frame_head(document: Column) -> Column:
+    """What :func:`frame_class` reads of a parsed server frame."""
+    return fields(document, ("status", "type"), "string")
+
+
+def frame_class(document: Column, head: Column | None = None) -> Column:
+    """Kind of a parsed server frame: ACK, ERROR, DATA, JSON, or RAW when it is not a JSON value.
+
+    ``head`` is its :func:`frame_head`, if it is at hand.
+    """
+    head = frame_head(document) if head is None else head
+    status, kind = head["status"], head["type"]
     return (F.when(document.isNull(), "RAW")
             .when(status.isin("success", "ack"), "ACK")
             .when(status == "error", "ERROR")

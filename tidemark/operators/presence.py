@@ -12,6 +12,7 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tidemark.functions.payload import compute_once
 from tidemark.operators.history import time_literal
 from tidemark.session import stored
 
@@ -54,8 +55,9 @@ def presence_steps(connections: DataFrame, first: datetime, last: datetime, hour
         F.struct(F.col("since").alias("at"), one.alias("delta"), F.struct("since", "conn_key", "until").alias("newest")),
         F.struct(F.col("until").alias("at"), (-one).alias("delta"), nobody.alias("newest")))))
     moments = (changes.where(F.col("at") <= time_literal(changes, last, "at")).groupBy("device_id", "at")
-               .agg(F.sum("delta").alias("delta"), F.max("newest").alias("newest"))
-               .withColumn("slice", F.greatest(slice_of(F.col("at"), hours), F.lit(low - 1))))
+               .agg(F.sum("delta").alias("delta"), F.max("newest").alias("newest")))
+    # Read twice below; the generator keeps the filter on slices above the aggregate, so that one shuffle serves both.
+    moments = compute_once(moments, {"slice": F.greatest(slice_of(F.col("at"), hours), F.lit(low - 1))})
     # One row per device and slice with changes: what holds at its end, up to the next such slice.
     so_far = Window.partitionBy("device_id").orderBy("slice")
     ends = moments.groupBy("device_id", "slice").agg(F.sum("delta").alias("delta"), F.max("newest").alias("newest")).select(

@@ -88,7 +88,7 @@ def outbox(owned: DataFrame) -> DataFrame:
         record(F.lit("devices"), F.col("sender_key"),
                F.struct(F.lit("dataUpdate").alias("type"), "device_id", "device_name",
                         F.col("sensor_type").alias("var"), body.alias("val"), time), F.col("kind") == "data"))
-    return owned.select("update_id", "ts", F.inline(F.array_compact(records)))
+    return owned.select("update_id", "ts", F.inline(records)).where(F.col("payload").isNotNull())
 
 
 def delivery_counts(updates: DataFrame, devices: DataFrame, subs: DataFrame) -> DataFrame:

@@ -265,7 +265,8 @@ def M6_frame_class(t):
               .unionByName(routing.outbox(routing.with_owner(updates(t), t.devices)).select(
                   F.lit("outbox").alias("origin"), F.col("update_id").alias("msg_id"), F.col("payload").alias("frame"))))
     parsed = payload.compute_once(frames, {"document": payload.parse(F.col("frame"))})
-    return parsed.select("origin", "msg_id", payload.frame_class(F.col("document")).alias("frame_class"))
+    known = payload.compute_once(parsed, {"head": payload.frame_head(F.col("document"))})
+    return known.select("origin", "msg_id", payload.frame_class(F.col("document"), F.col("head")).alias("frame_class"))
 
 
 @query
