@@ -124,3 +124,26 @@ def test_connections_are_reduced_in_one_shuffle(spark):
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     assert "ReusedExchange" in plan and plan.count("Scan") == 1
+
+
+def test_a_batch_makes_steps_of_its_own_devices_only(spark, tmp_path, monkeypatch):
+    devices = spark.createDataFrame([(d, 1, f"d{d}", f"a{d}", f"s{d}", None) for d in (1, 2, 3, 4)], DEVICES)
+    connections = spark.createDataFrame(
+        [(10 * (d or 9) + n, "device", d, 1, None, START, START, None) for d in (1, 2, 3, 4, None) for n in (0, 1)], CONNECTIONS)
+    batch = spark.createDataFrame(
+        [(1, START + timedelta(hours=1), "s1", '{"var":"a","val":1}'), (2, START + timedelta(hours=1), "s2", '{"var":"a"}'),
+         (3, START + timedelta(hours=1), "s4", '{"type":"command","var":"a","val":null}'), (4, START, "none", "x")],
+        "msg_id long, ts timestamp_ntz, secret_key string, raw string")
+    seen, whole = [], presence.presence_steps
+
+    def watched(rows, *moments):
+        seen.append(sorted(r[0] for r in rows.select("device_id").collect()))
+        return whole(rows, *moments)
+
+    monkeypatch.setattr(presence, "presence_steps", watched)
+    store = jobs.IngestStore(spark, str(tmp_path))
+    jobs.ingest_batch(store, lambda: (devices, connections))(batch, 0)
+    assert seen == [[1, 1, 4, 4]]
+    # The update skips its sender's connection, the last that started; the command reached the other one.
+    assert [(r.update_id, r.skip_conn_key) for r in store.outbox.read().where("audience = 'devices'").collect()] == [(1, 11)]
+    assert sorted((r.msg_id, r.message) for r in store.replies.read().collect()) == [(1, ingest.RECEIVED), (3, None)]

@@ -134,12 +134,17 @@ def ingest_batch(store: IngestStore, dimensions: Callable[[], tuple[DataFrame, D
     def each_batch(batch: DataFrame, batch_id: int) -> None:
         devices, connections = dimensions()
         outcomes = decisions(batch, devices, conn_type).persist(StorageLevel.MEMORY_AND_DISK)
-        steps = None
+        targets = steps = None
         try:
             first, last = presence.time_span(outcomes)  # fills the cache, so the source is read once
             if first is None:
                 return
-            steps = presence.presence_steps(connections, first, last).persist(StorageLevel.MEMORY_AND_DISK)
+            # Steps are made for the devices of the batch only. These are counted first, so that their real size decides
+            # how connections meet them.
+            targets = ingest.new_values(outcomes).select("device_id").distinct().persist(StorageLevel.MEMORY_AND_DISK)
+            targets.count()
+            concerned = connections.join(targets, "device_id", "left_semi")
+            steps = presence.presence_steps(concerned, first, last).persist(StorageLevel.MEMORY_AND_DISK)
             placed = presence.with_senders(outcomes, steps, connections)
             readings = ingest.new_readings(outcomes)
             owned = routing.with_owner(ingest.new_updates(placed), devices)
@@ -153,9 +158,9 @@ def ingest_batch(store: IngestStore, dimensions: Callable[[], tuple[DataFrame, D
                 store.commands: routing.command_frames(ingest.new_commands(outcomes)),
                 store.outbox: routing.outbox(owned)}, conn_type)
         finally:
-            outcomes.unpersist()
-            if steps is not None:
-                steps.unpersist()
+            for kept in (outcomes, targets, steps):
+                if kept is not None:
+                    kept.unpersist()
     return each_batch
 
 
