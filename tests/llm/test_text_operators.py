@@ -4,11 +4,13 @@ import hashlib
 import json
 import random
 import re
+import time
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark import session
 from tidemark.llm import bpe, decontamination, extraction, licenses, near_duplicates, quality, secrets, substrings, toxicity
 from tidemark.llm.common import words_of
 
@@ -193,6 +195,36 @@ def test_links_and_spans_of_passages(spark):
         assert out[i].n_links == len(others) and hit <= got and len(got - hit) <= 12
 
 
+def test_pairs_with_too_few_common_runs_are_not_compared(spark):
+    """Half hashes pass every pair that repeats something, and few others."""
+    rng = random.Random(4)
+    base = [rng.getrandbits(63) - 2**62 for _ in range(60)]
+    rows = []
+    for doc in range(24):
+        runs = [r if rng.random() < (0.95 if doc < 8 else 0.5) else rng.getrandbits(63) - 2**62 for r in base]
+        rows.append((doc, bytearray(np.arange(60, dtype=np.int32).tobytes()), bytearray(np.array(runs, np.int64).tobytes()), bytearray(60)))
+    records = spark.createDataFrame(rows, "doc long, places binary, runs binary, head binary")
+    pairs = spark.createDataFrame([(a, b) for a in range(24) for b in range(a)], "doc long, other long")
+    some = substrings.likely(pairs, records, 50, 0.8)
+    found = lambda x: {(r.doc, r.other, str(r.spans)) for r in substrings.verified(x, records, 50, 0.8).collect()}
+    assert found(some) == found(pairs) and 28 <= some.count() < 40
+
+
+def test_stored_tables_free_their_shuffles(spark):
+    def shuffled():
+        files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {name for name in map(str, [files.apply(i).getName() for i in range(files.size())]) if name.startswith("shuffle_")}
+
+    setting = spark.conf.get(session.FREE_SHUFFLES)
+    before = shuffled()
+    counts = session.stored(spark.range(100_000).groupBy((F.col("id") % 1000).alias("k")).count(), "counts")
+    for _ in range(50):
+        if not (left := shuffled() - before):
+            break
+        time.sleep(0.2)
+    assert not left and counts.count() == 1000 and spark.conf.get(session.FREE_SHUFFLES) == setting
+
+
 def test_near_repeats_equal_brute_force(spark):
     # Variants of passages, of which no first document is near to all, and first documents that hold only parts of them.
     rng = random.Random(21)
