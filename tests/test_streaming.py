@@ -359,3 +359,37 @@ def test_timers_whatever_state_store_the_session_names(spark, tmp_path):
         spark.conf.set(handshake.STATE_STORE, was)
     assert {(r.conn_key, r.verdict, r.decided_at) for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {
         (1, "accepted", at(1)), (2, "accepted", at(1)), (3, "timeout", at(20)), (4, "bad_key", at(1))}
+
+
+def test_timers_of_connections_that_share_a_block(spark, tmp_path, monkeypatch):
+    """State is kept by block, yet each connection is decided by its own limit and when the clock passes that."""
+    monkeypatch.setattr(handshake, "BLOCKS", 4)
+    at = lambda s: datetime(2024, 1, 1) + timedelta(seconds=s)
+    source, schema = str(tmp_path / "events"), "conn_key long, ts timestamp, event string"
+    few = [(None, at(3), "open"), (None, at(4), "good"), (1 << 60, at(3), "open"), ((1 << 60) + 1, at(3), "open"), ((1 << 60) + 1, at(5), "bad"),
+           (900, at(9), "good"), (901, at(8), "good"), (902, at(0), "open"), (902, at(20), "good"), (903, at(0), "open"), (903, at(6), "bad")]
+    batches = [[(i, at(i % 10), "open") for i in range(200)] + few + [(-1, at(6), "clock")],
+               [(i, at(i % 10 + 8), "good") for i in range(0, 200, 2)] + [(900, at(7), "open"), (903, at(7), "good"), (-1, at(25), "clock")],
+               [(i, at(26), "bad") for i in range(200)] + [(-1, at(26), "clock")],
+               [(-1, at(3600), "clock")]]
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+    got, waiting = [], []
+
+    def take(frame, number):
+        found = [(r.conn_key, r.verdict, r.decided_at) for r in frame.collect()]
+        assert number < 2 or all(when <= at(26) for _, _, when in found)
+        got.extend(found)
+        waiting.append(len(found))
+
+    (handshake.handshake_verdict_stream(stream).writeStream.foreachBatch(take).option("checkpointLocation", str(tmp_path / "c"))
+     .trigger(availableNow=True).start().awaitTermination())
+    want = {(i, "accepted", at(i % 10 + 8)) if i % 2 == 0 else (i, "bad_key", at(26)) if i % 10 > 6 else (i, "timeout", at(i % 10 + 20))
+            for i in range(200)}
+    want |= {(None, "accepted", at(4)), (1 << 60, "timeout", at(23)), ((1 << 60) + 1, "bad_key", at(5)),
+             (900, "accepted", at(9)), (902, "timeout", at(20)), (903, "bad_key", at(6))}
+    assert len(got) == len(want) and set(got) == want
+    assert sum(n > 0 for n in waiting) > 1  # not all at the end
+    states = lambda **of: spark.read.format("statestore").options(stateVarName="waiting", **of).load(str(tmp_path / "c"))
+    assert 1 < states(batchId=0).count() <= 5 and states().count() == 0
