@@ -210,6 +210,59 @@ def test_pairs_with_too_few_common_runs_are_not_compared(spark):
     assert found(some) == found(pairs) and 28 <= some.count() < 40
 
 
+def test_stretch_hashes_tell_stretches_apart():
+    rng = np.random.default_rng(3)
+    for width in (1, 2, 5, 46):
+        runs = rng.integers(0, 2, 300).astype(np.uint64)
+        runs[200:260] = runs[20:80]
+        of = {}
+        for i, h in enumerate(substrings.stretch_hashes(runs, width).tolist()):
+            of.setdefault(h, set()).add(runs[i:i + width].tobytes())
+        assert sum(map(len, of.values())) == len(set().union(*of.values())) == len(of)
+        assert len(substrings.stretch_hashes(runs, width)) == 301 - width
+
+
+def test_shared_runs_in_slices(spark, monkeypatch):
+    """Meeting runs slice by slice gives what meeting them at once gives."""
+    rng = random.Random(6)
+    rows = [(rng.randrange(-40, 40), rng.randrange(12), i) for i in range(150)]
+    runs = spark.createDataFrame(rows, "hash long, doc long, start int")
+    docs = {h: {d for x, d, _ in rows if x == h} for h, _, _ in rows}
+    want = sorted((d, i, sum(x == h for x, _, _ in rows), h) for h, d, i in rows if len(docs[h]) > 1)
+    for size, slices in ((1_000_000, 1), (60, 3), (1, substrings.RUN_SLICES)):
+        monkeypatch.setattr(substrings, "SLICE_RUNS", size)
+        each = substrings.shared_runs(runs)
+        assert len(each) == slices and sorted(tuple(r) for x in each for r in x.collect()) == want
+
+
+def test_pairs_in_slices(spark, monkeypatch):
+    pairs = spark.createDataFrame([(a, b) for a in range(30) for b in range(a)], "doc long, other long")
+    records = spark.createDataFrame([(i, i % 3) for i in range(30)], "doc long, kind int")
+    sizes = []
+
+    def compared(some, all_records):
+        sizes.append(some.count())
+        return some.join(all_records, "doc").where("kind = 1").select("doc", "other")
+
+    monkeypatch.setattr(substrings, "PAIR_SLICES", 5)
+    got = [(r.doc, r.other) for r in substrings.in_slices(pairs, records, compared, 1, "some").collect()]
+    assert len(sizes) == 5 and max(sizes) < 200 and sum(sizes) == 435
+    assert sorted(got) == [(a, b) for a in range(30) for b in range(a) if a % 3 == 1]
+
+
+def test_tables_go_after_their_last_use(spark, tmp_path, monkeypatch):
+    """What grows with the words is on disk only while it is read."""
+    monkeypatch.setattr(session, "shared_folder", lambda _: str(tmp_path))
+    rng = random.Random(8)
+    text = [f"w{rng.randrange(10 ** 6)}" for _ in range(120)]
+    rows = [(1, " ".join(text)), (2, " ".join(["other", *text[:80]])), (3, " ".join([*text[20:], "more"])), (4, "short")]
+    out = substrings.substring_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    left = {d.name.rsplit("-", 1)[0] for d in (tmp_path / "tidemark").iterdir()}
+    assert {"copies", "candidates", "classes"} <= left and not left & {"shared-keys", "runs", "shared-runs", "heads"}
+    assert {(r.doc_id, r.class_id, r.n_links, r.n_repeated) for r in out.collect()} == {
+        (1, 1, 2, 120), (2, 1, 2, 80), (3, 1, 2, 100), (4, 4, 0, 0)}
+
+
 def test_stored_tables_free_their_shuffles(spark):
     def shuffled():
         files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
